@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm import item_pairs as items
-from bitsieve.llm import term_counts
+from bitsieve.llm import set_pairs, term_counts
+from bitsieve.llm.pivots import Threshold
 from bitsieve.sources.tables import table
 
 
@@ -46,9 +47,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_terms(spark, sf_dir).where("mark is not null").select("tab", "bit_no", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p6_terms)}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one table that share more than 0.7 of the bits in either."""
+    one = lambda name: set_pairs.similar_pairs(table(spark, sf_dir, name), "id", "fingerprint", Threshold(7, 10, strict=True)).select(
+        F.lit(name).alias("tab"), "id_a", "id_b"
+    )
+    return one("molecule_structure").unionAll(one("cgr"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_terms)}
 
 SQL = {
+    "p1_found": """
+        WITH r AS (SELECT DISTINCT 'molecule_structure' AS tab, id, list_sort(list_distinct(fingerprint)) AS f FROM molecule_structure WHERE len(fingerprint) > 0
+                   UNION ALL SELECT DISTINCT 'cgr', id, list_sort(list_distinct(fingerprint)) FROM cgr WHERE len(fingerprint) > 0),
+             b AS (SELECT tab, id, len(f) AS n, unnest(f) AS bit FROM r)
+        SELECT a.tab, a.id AS id_a, b.id AS id_b FROM b a JOIN b ON a.tab = b.tab AND a.bit = b.bit AND a.id < b.id
+        GROUP BY a.tab, a.id, b.id, a.n, b.n HAVING count(*) * 10 > 7 * (a.n + b.n - count(*))""",
     "p2_found": """
         WITH i AS (SELECT DISTINCT reaction, substance, is_product FROM reaction_substance WHERE is_product IS NOT NULL AND reaction IS NOT NULL AND substance IS NOT NULL),
              c AS (SELECT substance, is_product, count(*) AS n FROM i GROUP BY ALL),
