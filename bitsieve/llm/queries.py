@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm import item_pairs as items
-from bitsieve.llm import set_pairs, term_counts
+from bitsieve.llm import arrivals, set_pairs, term_counts
 from bitsieve.llm.pivots import Threshold
 from bitsieve.sources.tables import table
 
@@ -55,7 +55,48 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("molecule_structure").unionAll(one("cgr"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_terms)}
+def _sorted_set(column: str):
+    return F.array_sort(F.array_distinct(F.filter(column, lambda v: v.isNotNull()))).cast("array<bigint>")
+
+
+def _structure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "molecule_structure").select(F.col("signature").alias("exact_key"), _sorted_set("fingerprint").alias("items"))
+    index = arrivals.SetIndex(spark, known, Threshold(9, 10, strict=False))
+    new = table(spark, sf_dir, "incoming_structure").where("incoming_id is not null")
+    new = new.select(F.col("incoming_id").alias("seq"), "batch_no", F.col("signature").alias("exact_key"), _sorted_set("fingerprint").alias("items")).distinct()
+    return arrivals.in_batches(new, "batch_no", index).select(F.lit("structure").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
+
+
+def _mixtures(rows: DataFrame, key: str) -> DataFrame:
+    """key, mixture, fractions from key, component, fraction; a component listed twice counts once (the smallest fraction)."""
+    one = rows.groupBy(key, "component").agg(F.min("fraction").alias("fraction"))
+    parts = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("component", "fraction"))).alias("parts"))
+    return parts.select(key, F.array_join("parts.component", ";").alias("mixture"), F.col("parts.fraction").alias("fractions"))
+
+
+def _substance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "substance_structure").select("id", "substance", "molecule", "non_organic", "molar_fraction").distinct()
+    named = F.coalesce(F.concat(F.lit("m"), F.col("molecule").cast("string")), F.concat(F.lit("n"), F.col("non_organic").cast("string")), F.lit("?"))
+    known = _mixtures(rows.select("substance", named.alias("component"), F.col("molar_fraction").alias("fraction")), "substance")
+    index = arrivals.MixtureIndex(spark, known, 0.045)
+
+    new = table(spark, sf_dir, "incoming_substance").where("incoming_id is not null").select("incoming_id", "batch_no", "components").distinct()
+    parts = new.select("incoming_id", F.explode("components").alias("c")).select("incoming_id", F.col("c.signature").alias("signature"), F.col("c.molar_fraction").alias("fraction"))
+    molecules = table(spark, sf_dir, "molecule_structure").groupBy("signature").agg(F.min("molecule").alias("molecule"))
+    others = table(spark, sf_dir, "non_organic").groupBy("signature").agg(F.min("id").alias("non_organic"))
+    stands_for = F.coalesce(F.concat(F.lit("m"), F.col("molecule").cast("string")), F.concat(F.lit("n"), F.col("non_organic").cast("string")), F.concat(F.lit("s"), F.hex("signature")), F.lit("?"))
+    parts = parts.join(molecules, "signature", "left").join(others, "signature", "left").select("incoming_id", stands_for.alias("component"), "fraction")
+    mixed = new.select(F.col("incoming_id").alias("seq"), "batch_no").join(_mixtures(parts, "incoming_id").withColumnRenamed("incoming_id", "seq"), "seq")
+    return arrivals.in_batches(mixed, "batch_no", index).select(F.lit("substance").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals that are known already, exactly or nearly, batch by batch."""
+    one, two = arrivals.together(lambda: _structure_verdicts(spark, sf_dir), lambda: _substance_verdicts(spark, sf_dir))
+    return one.unionAll(two)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms)}
 
 SQL = {
     "p1_found": """
