@@ -153,7 +153,8 @@ def similar_classes(sets: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame
     total = "(cast(nx + ny as bigint))"
     least = f"({t.p} * {total} div {t.p + t.q} + 1)" if t.strict else f"(({t.p} * {total} + {t.p + t.q - 1}) div {t.p + t.q})"
     near = f"bit_count(sx ^ sy) <= {total} - 2 * {least}"
-    met = x.join(y, (x.cell == y.cell) & F.expr("(nx < ny or (nx = ny and hx < hy))") & F.expr(f"{least} <= nx") & F.expr(near))
+    # The size of generated cells can't be estimated from the table: never broadcast them.
+    met = x.join(y.hint("merge"), (x.cell == y.cell) & F.expr("(nx < ny or (nx = ny and hx < hy))") & F.expr(f"{least} <= nx") & F.expr(near))
     candidates = met.select("hx", "hy").distinct()
     # Equal hashes of different sets would be pairs that no two roles tell apart.
     clash = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("hx"), F.col("h").alias("hy"))
