@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm import item_pairs as items
-from bitsieve.llm import arrivals, set_pairs, term_counts
+from bitsieve.llm import arrivals, packing, set_pairs, term_counts, tokens
 from bitsieve.llm.pivots import Threshold
 from bitsieve.sources.tables import table
 
@@ -96,7 +96,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionAll(two)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every page."""
+    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, sized in tokens, in containers of 2,048 tokens."""
+    sizes = tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", only_sizes=True)
+    return packing.packed_containers(sizes, "doc_id", "n_tokens", 2048)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms, p7_ids, p8_containers)}
 
 SQL = {
     "p1_found": """
