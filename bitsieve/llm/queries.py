@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm import item_pairs as items
-from bitsieve.llm import arrivals, packing, set_pairs, term_counts, tokens
+from bitsieve.llm import arrivals, packing, set_pairs, subjects, term_counts, tokens
 from bitsieve.llm.pivots import Threshold
 from bitsieve.sources.tables import table
 
@@ -107,7 +107,13 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_containers(sizes, "doc_id", "n_tokens", 2048)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of the articles on each page."""
+    areas = [r.subject for r in table(spark, sf_dir, "subject_area").select("subject").collect()]  # a fixed list of 8
+    return subjects.page_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"), areas)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms, p7_ids, p8_containers, p9_found)}
 
 SQL = {
     "p1_found": """
