@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bitsieve.plans import core_queries
+from bitsieve.plans import core_queries, search_queries
 
-MODULES = (core_queries,)
-FLAGSHIP = core_queries.p5_found
+MODULES = (core_queries, search_queries)
+FLAGSHIP = search_queries.mol_similar_exact
 
 
 def queries() -> dict:
