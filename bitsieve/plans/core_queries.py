@@ -52,7 +52,30 @@ def p5_molecule_substances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_bucket_records, p5_molecule_substances)}
 
+_SMILES = bad_rows.SMILES.replace("*+", "*")
+_P3 = f"""
+        WITH l AS (SELECT DISTINCT file_no, line_no, trim(coalesce(raw, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS s FROM upload_smi),
+        f AS (SELECT *, string_split(s, ' ') AS f FROM l),
+        x AS (SELECT *, coalesce(f[2][1] = '|', false) AS has FROM f),
+        p AS (SELECT *, f[1] AS a, CASE WHEN has THEN f[2] END AS ext, f[2 + has::INT] AS b FROM x),
+        u AS (SELECT *, regexp_replace(a, '^"|"$', '', 'g') AS smi, regexp_replace(b, '^"|"$', '', 'g') AS i FROM p),
+        g AS (SELECT *, regexp_extract_all(regexp_replace(regexp_replace(smi, '\\[[^\\]]*\\]', 'A', 'g'), '{"|".join(bad_rows.ORGANIC_ATOMS)}', 'A', 'g'), 'A|%[0-9][0-9]|[0-9]') AS tok,
+                     string_split(regexp_replace(smi, '[^().]', '', 'g'), '') AS marks FROM u),
+        r AS (SELECT *, CASE
+            WHEN s = '' THEN 'empty'
+            WHEN list_contains(f, '') OR len(f) > 2 + has::INT THEN 'columns'
+            WHEN coalesce(NOT regexp_full_match(ext, '[|][^|]*[|]'), false) OR contains(a, '|') OR coalesce(contains(b, '|'), false)
+              OR (contains(a, '"') AND NOT regexp_full_match(a, '"[^"]*"')) OR coalesce(contains(b, '"') AND NOT regexp_full_match(b, '"[^"]*"'), false) THEN 'quoting'
+            WHEN coalesce(NOT regexp_full_match(i, '{bad_rows.SMI_LINE.second.pattern}'), false) THEN 'idx'
+            WHEN NOT regexp_full_match(smi, '{_SMILES}')
+              OR list_reduce(marks, lambda d, m: CASE WHEN d < 0 THEN d WHEN m = '(' THEN d + 1 WHEN m = ')' THEN d - 1 WHEN m = '.' AND d > 0 THEN -1 ELSE d END, 0) <> 0
+              OR len(list_filter(list_distinct(list_transform(list_filter(tok, lambda t: t <> 'A'), lambda t: ltrim(t, '%')::INT)), lambda k: NOT regexp_full_match(
+                   array_to_string(list_transform(list_filter(tok, lambda t: t = 'A' OR try_cast(ltrim(t, '%') AS INT) = k), lambda t: CASE WHEN t = 'A' THEN 'A' ELSE '#' END), ''), 'A*(#A+#A*)*'))) > 0
+            THEN 'smiles' END AS reason FROM g)
+        """
 SQL = {
+    "p3_found": _P3 + "SELECT file_no, line_no, reason FROM r WHERE reason IS NOT NULL",
+    "p3_loaded": _P3 + "SELECT file_no, line_no, smi, ext AS extension, coalesce(i, line_no::VARCHAR) AS idx FROM r WHERE reason IS NULL",
     "p5_found": """
         WITH l AS (SELECT DISTINCT band, key, structure_id FROM molecule_lsh),
              s AS (SELECT DISTINCT * FROM substance_structure)
