@@ -40,21 +40,34 @@ ENOUGH, SHORT = 2, 3
 def _reader():
     import regex
 
-    joined = regex.compile(r"(?<=\p{L})(?:[-‐‑=¬~⸗]|­)[^\S\n]*\n\s*(?=\p{Ll})")
-    ends = regex.compile(r"(?<=[.!?;:—»”\"])\s+|\s+[—–]\s+|\s{2,}")
-    word = regex.compile(r"\p{L}{2,}")
+    joined = regex.compile(r"[-‐‑=¬~⸗\xad](?<=\p{L}.)[^\S\n]*+\n\s*+(?=\p{Ll})")
+    # Words, and what ends a passage: a mark before white space, a dash within it, or much of it.
+    pieces = regex.compile(r"\p{L}{2,}+|[.!?;:—»”\"]\s|\s[—–]\s|\s\s").findall
 
-    def passages(text: str | None, columns: list[int | None] | None) -> list[set[str]]:
+    def passages(text: str | None, columns: list[int | None] | None) -> list[list[str]]:
         """The distinct words of each passage of a page."""
         if not text:
             return []
         lines = text.replace("\r\n", "\n").split("\n")
         if columns and len(columns) == len(lines):
-            lines = [lines[i] for i in sorted(range(len(lines)), key=lambda i: (columns[i] or 0, i))]
-        whole = unicodedata.normalize("NFC", "\n".join(x.rstrip() for x in lines)).replace("ſ", "s").replace("​", "")
-        whole = joined.sub("", whole).replace("\n", " ")
-        found = ({w.lower() for w in word.findall(p)} for p in ends.split(whole))
-        return [f for f in found if f]
+            columns = [c or 0 for c in columns]
+            lines = [lines[i] for i in sorted(range(len(lines)), key=columns.__getitem__)]
+        whole = "\n".join([x.rstrip() for x in lines])
+        if not whole.isascii():
+            whole = unicodedata.normalize("NFC", whole).replace("ſ", "s").replace("​", "")
+        whole = joined.sub("", whole).replace("\n", " ").lower()
+        found: list[list[str]] = []
+        now: dict[str, None] = {}
+        for piece in pieces(whole):
+            if piece[-1].isspace():
+                if now:
+                    found.append(list(now))
+                    now = {}
+            else:
+                now[piece] = None
+        if now:
+            found.append(list(now))
+        return found
 
     return passages
 
@@ -66,27 +79,53 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(0, batch.num_rows, 500):
             part = batch.slice(s, 500)
             pages = [passages(t, c) for t, c in zip(part.column("text").to_pylist(), part.column("columns").to_pylist(), strict=True)]
-            words = [[w for p in page for w in sorted(p)] for page in pages]
+            words = [[w for p in page for w in p] for page in pages]
             sizes = [[len(p) for p in page] for page in pages]
             cols = {c: part.column(c) for c in part.schema.names if c not in ("text", "columns")}
             yield pa.RecordBatch.from_pydict(cols | {"words": pa.array(words, pa.list_(pa.string())), "sizes": pa.array(sizes, pa.list_(pa.int32()))})
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few pages at a time: their vectors then stay in the processor's cache."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, 250):
+            yield batch.slice(s, 250)
+
+
+def _coded(sent):
+    """Words as term numbers; those outside the vocabulary are left out. Later passes then move numbers only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = sent.value
+        for batch in batches:
+            words, sizes = batch.column("words"), batch.column("sizes")
+            coded = words.flatten().dictionary_encode()
+            known = np.array([number.get(w, -1) for w in coded.dictionary.to_pylist()], np.int32)
+            term = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+            counts = sizes.flatten().to_numpy()
+            at = np.repeat(np.arange(len(counts)), counts)[term >= 0]
+            left = np.bincount(at, minlength=len(counts)).astype(np.int32)
+            ends = np.r_[0, np.cumsum(left)]
+            bounds = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
+            cols = {c: batch.column(c) for c in ("doc_id", "lang")}
+            yield pa.RecordBatch.from_pydict(cols | {
+                "terms": pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(term[term >= 0])),
+                "sizes": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(left)),
+            })
+
+    return run
+
+
 class _Batch:
     """Passages of a batch of pages as term numbers of the vocabulary."""
 
-    def __init__(self, batch: pa.RecordBatch, v: dict):
-        words, sizes = batch.column("words"), batch.column("sizes")
-        counts = sizes.flatten().to_numpy().astype(np.int64)
-        per_page = np.diff(sizes.offsets.to_numpy())
+    def __init__(self, batch: pa.RecordBatch):
+        terms, sizes = batch.column("terms"), batch.column("sizes")
+        counts = sizes.flatten().to_numpy()
         self.pages, self.passages = batch.num_rows, len(counts)
-        self.owner = np.repeat(np.arange(self.pages), per_page)
-        flat = words.flatten()
-        coded = flat.dictionary_encode()
-        number = np.array([v["number"].get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
-        term = number[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        at = np.repeat(np.arange(self.passages), counts)
-        self.term, self.at = term[term >= 0], at[term >= 0]
+        self.owner = np.repeat(np.arange(self.pages), np.diff(sizes.offsets.to_numpy()))
+        self.term = terms.flatten().to_numpy().astype(np.int64)
+        self.at = np.repeat(np.arange(self.passages), counts)
 
     def page_terms(self, v: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(page, term, value): rows of unit length, log(1 + passages) times the term's weight."""
@@ -124,7 +163,7 @@ def _summed(pages: DataFrame, each, shape: tuple[int, int]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for batch in batches:
+        for batch in _parts(batches):
             each(batch, total)
         yield _numbered(total)
 
@@ -142,11 +181,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _chosen(z: np.ndarray, length: np.ndarray, v: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(clear, subject, centroid) of each passage."""
-    near = z @ v["centroids"].T
-    by_subject = np.stack([near[:, v["of"] == k].max(axis=1) for k in range(v["subjects"])], axis=1)
-    two = np.sort(by_subject, axis=1)[:, -2:] if v["subjects"] > 1 else np.c_[np.full(len(z), -1.0), by_subject]
-    clear = (two[:, 1] > SIMILAR) & (two[:, 1] - two[:, 0] > LEAD) & (length > LENGTH * v["typical"])
-    return clear, by_subject.argmax(axis=1), near.argmax(axis=1)
+    near = z @ v["centroids"].T.astype(np.float32)
+    rows = np.arange(len(near))
+    centroid = near.argmax(axis=1)
+    best = near[rows, centroid]
+    other = np.where(v["of"][None, :] == v["of"][centroid][:, None], np.float32(-1), near).max(axis=1)
+    clear = (best > SIMILAR) & (best - other > LEAD) & (length > LENGTH * v["typical"])
+    return clear, v["of"][centroid], centroid
 
 
 def page_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
@@ -166,18 +207,20 @@ def page_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str])
     known = labels.where(F.col("subject").isin(names)).select("doc_id", "subject").distinct()
     known = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("labels"))  # at most the closed list
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    seen = stored(pages.join(known, "doc_id"), "labelled")
 
     n_pages = pages.count()
     # Terms by document frequency, all pages; and by label on the labelled ones.
     terms = pages.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = terms.where(F.col("df") >= RARE).orderBy(F.desc("df"), "term").limit(TERMS).collect()
+    number = spark.sparkContext.broadcast({r.term: i for i, r in enumerate(terms)})
+    pages = stored(pages.mapInArrow(_coded(number), f"doc_id {kind}, lang string, terms array<int>, sizes array<int>"), "coded")
+    seen = stored(pages.join(known, "doc_id"), "labelled")
     if not terms or seen.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, subject string")
-    number = {r.term: i for i, r in enumerate(terms)}
-    v: dict = {"number": number, "subjects": len(names)}
-    labelled = _summed(seen, _label_counts(spark.sparkContext.broadcast(number), names), (len(terms), len(names)))
-    prior = np.array([seen.where(F.array_contains("labels", s)).select(F.sum(1 / F.size("labels"))).first()[0] or 1e-9 for s in names], float)
+    v: dict = {}
+    labelled = _summed(seen, _label_counts(names), (len(terms), len(names)))
+    shares = seen.select(F.explode("labels").alias("s"), (1 / F.size("labels")).alias("w")).groupBy("s").agg(F.sum("w").alias("w")).collect()
+    prior = np.maximum([sum(r.w for r in shares if r.s == s) for s in names], 1e-9)
     prior /= prior.sum()
     lift = (labelled + 2 * prior) / (labelled.sum(axis=1, keepdims=True) + 2) / prior
     lift /= lift.sum(axis=1, keepdims=True)
@@ -207,9 +250,9 @@ def page_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str])
     return out
 
 
-def _label_counts(number, names: list[str]):
+def _label_counts(names: list[str]):
     def each(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        b = _Batch(batch, {"number": number.value})
+        b = _Batch(batch)
         share = np.zeros((b.pages, len(names)))
         for i, x in enumerate(batch.column("labels").to_pylist()):
             share[i, [names.index(s) for s in x]] = 1 / len(x)
@@ -224,11 +267,13 @@ def _product(sent):
 
     def each(batch: pa.RecordBatch, total: np.ndarray) -> None:
         v = sent.value
-        b = _Batch(batch, v)
+        b = _Batch(batch)
         page, term, value = b.page_terms(v)
         y = _sum_rows(v["axes"][term] * value[:, None], page, b.pages)
-        order = np.argsort(term, kind="stable")
-        total += _sum_rows(y[page[order]] * value[order, None], term[order], len(total))
+        order = np.argsort(term.astype(np.uint16), kind="stable")  # TERMS fit 16 bits
+        first = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0]) if len(order) else order
+        if len(order):
+            total[term[order[first]]] += np.add.reduceat(y[page[order]] * value[order, None], first)
 
     return each
 
@@ -236,7 +281,7 @@ def _product(sent):
 def _seed_sums(sent, groups: list[tuple[str, str]]):
     def each(batch: pa.RecordBatch, total: np.ndarray) -> None:
         v = sent.value
-        b = _Batch(batch, v)
+        b = _Batch(batch)
         page, term, value = b.page_terms(v)
         y = _unit(_sum_rows(v["axes"][term] * value[:, None], page, b.pages))
         for i, (labels, lang) in enumerate(zip(batch.column("labels").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
@@ -250,9 +295,9 @@ def _seed_sums(sent, groups: list[tuple[str, str]]):
 def _refined(sent):
     def each(batch: pa.RecordBatch, total: np.ndarray) -> None:
         v = sent.value
-        z, length = _Batch(batch, v).embedded(v)
+        z, length = _Batch(batch).embedded(v)
         clear, _, centroid = _chosen(z, length, v)
-        np.add.at(total, centroid[clear], z[clear])
+        total += (centroid[clear] == np.arange(len(total))[:, None]).astype(np.float32) @ z[clear]
 
     return each
 
@@ -260,8 +305,8 @@ def _refined(sent):
 def _assigned(sent, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
-        for batch in batches:
-            b = _Batch(batch, v)
+        for batch in _parts(batches):
+            b = _Batch(batch)
             z, length = b.embedded(v)
             clear, subject, _ = _chosen(z, length, v)
             votes = np.zeros((b.pages, len(names)), np.int64)

@@ -36,8 +36,8 @@ def test_held_out_pages_and_edge_cases(spark, monkeypatch):
 def test_columns_and_broken_words():
     read = subjects._reader()
     text = "The judg-\nballet be-\ne wrote.\ngan again."
-    assert read(text, [0, 1, 0, 1]) == [{"the", "judge", "wrote"}, {"ballet", "began", "again"}]
-    assert read("It is.\r\nNot so", None) == [{"it", "is"}, {"not", "so"}]
+    assert read(text, [0, 1, 0, 1]) == [["the", "judge", "wrote"], ["ballet", "began", "again"]]
+    assert read("It is.\r\nNot so", None) == [["it", "is"], ["not", "so"]]
     assert read(None, None) == read("", []) == read(" \n ", [0, 0]) == []
 
 
