@@ -18,13 +18,14 @@ of equal arrivals: as many rounds as the longest chain of dependent arrivals.
 from __future__ import annotations
 
 import hashlib
-import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitsieve.llm.pivots import Bounds, Overlaps, Threshold, kept, nearest, size_bucket
 from bitsieve.llm.set_pairs import _sketch
@@ -46,8 +47,10 @@ def settle(batch: DataFrame, looks: DataFrame) -> DataFrame:
         first = alive.groupBy("key").agg(F.min("seq").alias("any"), F.min(F.when(F.col("state") == 1, F.col("seq"))).alias("sure"))
         met = looks.join(first, "key").groupBy("seq").agg(F.min("any").alias("any"), F.min("sure").alias("sure"))
         new = F.when(F.col("state") != 0, F.col("state")).when(F.col("sure") < F.col("seq"), -1).when(F.col("any").isNull() | (F.col("any") >= F.col("seq")), 1).otherwise(0)
-        state = stored(state.join(met, "seq", "left").select("seq", "own", new.alias("state")), "state")
-        if state.where("state = 0").isEmpty():
+        left = Observation()
+        state = state.join(met, "seq", "left").select("seq", "own", new.alias("state"))
+        state = stored(state.observe(left, F.count(F.when(F.col("state") == 0, 1)).alias("n")), "state")
+        if not left.get["n"]:
             break
     return state.select("seq", (F.col("state") == 1).alias("accepted"))
 
@@ -77,7 +80,7 @@ class SetIndex:
         self.pivots = [np.array(r.items, np.int64) for r in sample] or [np.zeros(0, np.int64)]
         self.tag = hashlib.md5(repr([p.tolist() for p in self.pivots]).encode()).hexdigest()
         self.sent = spark.sparkContext.broadcast(self.pivots)
-        self.stats: dict[tuple[int, int], tuple[int, int]] = {}
+        self.stats = np.zeros((0, 4), np.int64)
         self._append(self._assigned(sets), stored_rows.select("exact_key"))
 
     def _assigned(self, sets: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ class SetIndex:
     def _append(self, assigned: DataFrame, keys: DataFrame) -> None:
         assigned.sortWithinPartitions("cell").write.mode("append").parquet(f"{self.folder}/cells")
         keys.where("exact_key is not null").distinct().write.mode("append").parquet(f"{self.folder}/keys")
-        if not self.stats:
+        if not len(self.stats):
             self._learn(self.cells())
 
     def cells(self) -> DataFrame:
@@ -99,22 +102,25 @@ class SetIndex:
 
     def _learn(self, assigned: DataFrame) -> None:
         """Range of levels by cell and size bucket: pivots x buckets numbers, whatever the table holds."""
-        size = assigned.withColumn("b", _bucket(F.col("n")))
-        for r in size.groupBy("cell", "b").agg(F.min("level").alias("low"), F.max("level").alias("high")).collect():
-            low, high = self.stats.get((r.cell, r.b), (r.low, r.high))
-            self.stats[r.cell, r.b] = min(low, r.low), max(high, r.high)
+        size = assigned.groupBy("cell", _bucket(F.col("n")).alias("b")).agg(F.min("level").alias("low"), F.max("level").alias("high")).toArrow()
+        new = np.stack([size.column(c).to_numpy().astype(np.int64) for c in ("cell", "b", "low", "high")], axis=1)
+        rows = np.concatenate([self.stats, new])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else []
+        if len(rows):
+            self.stats = np.c_[rows[first, :2], np.minimum.reduceat(rows[:, 2], first), np.maximum.reduceat(rows[:, 3], first)]
 
-    def check(self, batch: DataFrame) -> DataFrame:
-        """``seq, verdict`` of the arrivals of a batch that aren't accepted; the others are appended.
+    def check(self, batch: DataFrame) -> str:
+        """Where ``seq, verdict`` of the arrivals of a batch that aren't accepted are written; the others are appended.
 
         ``batch``: ``seq`` (unique, the order), ``exact_key`` and ``items``. An arrival without key and set is accepted.
         """
         batch = batch.select("seq", "exact_key", "items", F.when(F.size("items") > 0, F.xxhash64("items")).alias("h"))
         sets = stored(self._assigned(batch.where("h is not null").select("items").distinct()), "assigned")
         self._learn(sets)
-        bounds = [(*k, *v) for k, v in self.stats.items()]
+        bounds = self.spark.sparkContext.broadcast(self.stats)
         probes = sets.select("h", "n", "sketch", "items").mapInArrow(
-            _probes(self.sent, self.tag, self.spark.sparkContext.broadcast(bounds), self.t), "hy long, ny int, sy long, cell int, met int"
+            _probes(self.sent, self.tag, bounds, self.t), "hy long, ny int, sy long, cell int, met int"
         )
         side = [F.col("h").alias("hx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), "cell", "level"]
         members = self.cells().select(*side, F.lit(True).alias("known")).unionAll(sets.select(*side, F.lit(False).alias("known")))
@@ -133,6 +139,7 @@ class SetIndex:
         links = near.join(full, ["hx", "known"]).join(sets.select(F.col("h").alias("hy"), F.col("items").alias("y")), "hy")
         links = stored(links.where(F.expr(least.replace("nx", "size(x)").replace("ny", "size(y)")) <= shared).select("hx", "hy", "known").distinct(), "links")
 
+        bounds.unpersist()
         by_key = self.keys().select("exact_key", F.lit(True).alias("known_exact"))
         by_set = links.where("known").select(F.col("hy").alias("h")).distinct().withColumn("known_near", F.lit(True))
         seen = batch.drop("items").join(by_key, "exact_key", "left").join(by_set, "h", "left").fillna(False, ["known_exact", "known_near"])
@@ -148,7 +155,7 @@ class SetIndex:
         settled = settle(seen, looks)
         accepted = batch.join(settled.where("accepted"), "seq", "left_semi")
         self._append(sets.join(accepted.select("h").distinct(), "h", "left_semi").select("items", "h", "n", "sketch", "cell", "level"), accepted.select("exact_key"))
-        return verdicts(seen, settled)
+        return _written(verdicts(seen, settled))
 
 
 def _bucket(n: Column) -> Column:
@@ -228,7 +235,7 @@ class MixtureIndex:
     def cells(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/cells")
 
-    def check(self, batch: DataFrame) -> DataFrame:
+    def check(self, batch: DataFrame) -> str:
         """As :meth:`SetIndex.check`, for ``seq, mixture, fractions``. An arrival without components
         (null or empty mixture) is accepted and matches nothing."""
         named = batch.where("mixture <> ''")
@@ -251,34 +258,40 @@ class MixtureIndex:
         )
         settled = settle(seen, looks)
         self._append(seen.join(settled.where("accepted"), "seq", "left_semi").select("mixture", "fractions", "cell", "exact_key").distinct())
-        return verdicts(seen, settled)
+        return _written(verdicts(seen, settled))
+
+
+@contextmanager
+def small_plans(spark: SparkSession):
+    """For many small plans in a row: no join is turned into a broadcast, which would pass through the driver, and no
+    plan is compiled as a whole, which would take the driver longer, and more memory, than the plan runs."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.codegen.wholeStage": "false"}
+    before = {n: spark.conf.get(n, None) for n in settings}
+    try:
+        for n, v in settings.items():
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def in_batches(arrivals: DataFrame, batch: str, index: SetIndex | MixtureIndex) -> DataFrame:
     """The verdicts of all batches, checked one after another in the order of ``batch`` (null last)."""
     arrivals = stored(arrivals, "arrivals")
     numbers = sorted((r[0] for r in arrivals.select(batch).distinct().collect()), key=lambda b: (b is None, b))
-    out = index.spark.createDataFrame([], arrivals.select("seq").schema).withColumn("verdict", F.lit("").cast("string"))
-    for number in numbers:
-        out = out.unionAll(index.check(arrivals.where(F.col(batch).eqNullSafe(number))))
-    return out
-
-
-def together(*jobs):
-    """Results of functions run in threads: small jobs of one fill the gaps of the others."""
-    results, errors = [None] * len(jobs), []
-
-    def run(k: int) -> None:
-        try:
-            results[k] = jobs[k]()
-        except BaseException as e:  # noqa: BLE001
-            errors.append(e)
-
-    threads = [threading.Thread(target=run, args=(k,)) for k in range(len(jobs))]
-    for t in threads:
-        t.start()
-    for t in threads:
-        t.join()
-    if errors:
-        raise errors[0]
-    return results
+    schema = T.StructType([arrivals.schema["seq"], T.StructField("verdict", T.StringType())])
+    written = []
+    with small_plans(index.spark):
+        for number in numbers:
+            written.append(index.check(arrivals.where(F.col(batch).eqNullSafe(number))))
+            index.spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files and broadcasts of the batch
+    if not written:
+        return index.spark.createDataFrame([], schema)
+    return index.spark.read.schema(schema).parquet(*written)
+
+
+def _written(df: DataFrame) -> str:
+    path = work_folder(df.sparkSession, "verdicts")
+    df.write.parquet(path)
+    return path

@@ -92,8 +92,7 @@ def _substance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals that are known already, exactly or nearly, batch by batch."""
-    one, two = arrivals.together(lambda: _structure_verdicts(spark, sf_dir), lambda: _substance_verdicts(spark, sf_dir))
-    return one.unionAll(two)
+    return _structure_verdicts(spark, sf_dir).unionAll(_substance_verdicts(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bitsieve.llm.arrivals import MixtureIndex, SetIndex, in_batches, settle, together
+from bitsieve.llm.arrivals import MixtureIndex, SetIndex, in_batches, settle
 from bitsieve.llm.pivots import Threshold
 
 
@@ -50,9 +50,10 @@ def test_sets_against_brute_force(spark, pivots):
 def test_empty_store_and_empty_batch(spark):
     empty = spark.createDataFrame([], "exact_key binary, items array<bigint>")
     index = SetIndex(spark, empty, Threshold(9, 10, False))
-    assert index.check(spark.createDataFrame([], "seq long, exact_key binary, items array<bigint>")).count() == 0
+    none = spark.createDataFrame([], "seq long, batch int, exact_key binary, items array<bigint>")
+    assert spark.read.parquet(index.check(none)).count() == 0
     rows = spark.createDataFrame([(1, b"a", [1, 2]), (2, None, [1, 2]), (3, b"a", None), (4, None, None), (5, None, [])], "seq long, exact_key binary, items array<bigint>")
-    assert {(r.seq, r.verdict) for r in index.check(rows).collect()} == {(2, "near"), (3, "exact")}
+    assert {(r.seq, r.verdict) for r in in_batches(rows.withColumn("batch", F.lit(1)), "batch", index).collect()} == {(2, "near"), (3, "exact")}
     assert in_batches(rows.withColumn("batch", F.lit(1)).where("false"), "batch", index).count() == 0
 
 
@@ -84,9 +85,3 @@ def test_chain_is_settled_in_order(spark):
     batch = spark.createDataFrame([(i, False, [f"k{i}"]) for i in range(n)], "seq long, refused boolean, own array<string>")
     looks = spark.createDataFrame([(i, f"k{j}") for i in range(n) for j in (i - 1, i, i + 1)], "seq long, key string")
     assert {r.seq: r.accepted for r in settle(batch, looks).collect()} == {i: i % 2 == 0 for i in range(n)}
-
-
-def test_together_passes_errors_on():
-    assert together(lambda: 1, lambda: 2) == [1, 2]
-    with pytest.raises(ZeroDivisionError):
-        together(lambda: 1, lambda: 1 / 0)
