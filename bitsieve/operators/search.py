@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from bitsieve.config import LshConfig
 from bitsieve.functions.sets import band_keys, minhash, shared, tanimoto
 
+#: Sets and queries that meet at a time in ``top_each``.
+STORE_BLOCK, QUERY_BLOCK = 8192, 1024
+
 
 def lsh_index(records: DataFrame, key: str, config: LshConfig) -> DataFrame:
     """``band, key, structure_id``: the band keys of every non-empty set, one row each."""
@@ -83,7 +86,12 @@ def contained_counts(queries: DataFrame, store: DataFrame, key: str) -> DataFram
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``."""
-    return df.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__at = 1").drop("__at")
+    return first_of(df, keys, order, 1)
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows per key in ``order``."""
+    return df.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__at") <= k).drop("__at")
 
 
 def top(df: DataFrame, k: int, *tie: str) -> DataFrame:
@@ -91,5 +99,52 @@ def top(df: DataFrame, k: int, *tie: str) -> DataFrame:
     return df.orderBy(F.desc("t"), *tie).limit(k)
 
 
+def top_each(queries: DataFrame, store: DataFrame, key: str, k: int) -> DataFrame:
+    """``query, key, molecule, t``: the k best of all stored sets for every query, also those that share no bit with it.
+
+    Blocks of at most some thousand sets meet blocks of queries as products of bit matrices; each block keeps its k
+    best, and the best of all blocks are taken by rank. Scores are compared in billionths, ties go to the least molecule and key.
+    """
+    none = F.lit(-(1 << 63))
+    blocks = lambda df, n: F.broadcast(df.agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias("n")))
+    parts = blocks(store, STORE_BLOCK).withColumnRenamed("n", "__s").crossJoin(blocks(queries, QUERY_BLOCK).withColumnRenamed("n", "__q"))
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.crossJoin(F.broadcast(parts)).select("query", F.col("fp").alias("__fp"), own("query", "__q").alias("__qb"), every("__s").alias("__sb"))
+    right = store.crossJoin(F.broadcast(parts)).select(F.col(key).alias("__key"), F.coalesce("molecule", none).alias("__m"), F.col("fp").alias("__fp"), own(key, "__s").alias("__sb"), every("__q").alias("__qb"))
+
+    def best(q, s):
+        import numpy as np
+        import pandas as pd
+
+        s = s.sort_values(["__m", "__key"], ignore_index=True)
+        m = s["__fp"].map(len).to_numpy(np.int64)
+        bits, row = np.concatenate([np.asarray(x) for x in s["__fp"]] or [np.zeros(0, int)]), np.repeat(np.arange(len(s)), m)
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "__key": np.zeros(0, np.int64), "__m": np.zeros(0, np.int64), "__b": np.zeros(0, np.int64)})]
+        for at in range(0, len(q) if len(s) else 0, 256):
+            part = q.iloc[at : at + 256]
+            n = part["__fp"].map(len).to_numpy(np.int64)
+            asked = np.concatenate([np.asarray(x) for x in part["__fp"]])
+            names = np.unique(asked)
+            one = np.zeros((len(part), len(names)), np.float32)
+            one[np.repeat(np.arange(len(part)), n), np.searchsorted(names, asked)] = 1
+            place = np.minimum(np.searchsorted(names, bits), len(names) - 1)
+            met = names[place] == bits
+            two = np.zeros((len(s), len(names)), np.float32)
+            two[row[met], place[met]] = 1
+            i = (one @ two.T).astype(np.int64)
+            u = n[:, None] + m[None, :] - i
+            b = (i * 2_000_000_000 + u) // (2 * u)
+            rank = b * len(s) + (len(s) - 1 - np.arange(len(s)))
+            first = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < len(s) else np.tile(np.arange(len(s)), (len(part), 1))
+            each, flat = first.shape[1], first.ravel()
+            out.append(pd.DataFrame({"query": np.repeat(part["query"].to_numpy(), each), "__key": s["__key"].to_numpy()[flat], "__m": s["__m"].to_numpy()[flat], "__b": np.take_along_axis(b, first, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    met = left.groupBy("__sb", "__qb").cogroup(right.groupBy("__sb", "__qb")).applyInPandas(best, "query long, __key long, __m long, __b long")
+    met = first_of(met, ["query"], [F.desc("__b"), F.col("__m"), F.col("__key")], k)
+    return met.select("query", F.col("__key").alias(key), F.nullif("__m", none).alias("molecule"), (F.col("__b") / F.lit(1e9)).alias("t"))
+
+
 def shared_bits(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("shared", shared(a, b))

@@ -85,3 +85,14 @@ def test_edges(spark):
     assert {r.id for r in search.containing(one, few, "id").collect()} == {1, 2}
     best = search.distinct_on(few.withColumn("t", F.lit(0.5)), ["t"], [F.desc("id")]).collect()
     assert [r.id for r in best] == [3]
+
+
+@pytest.mark.parametrize("k", [1, 7, 200])
+def test_best_of_every_query(data, k, monkeypatch):
+    monkeypatch.setattr(search, "STORE_BLOCK", 40)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    rows, store, queries = data
+    got = sorted((r.query, -r.t, r.molecule, r.id) for r in search.top_each(queries, store.withColumn("molecule", F.col("id") % 4), "id", k).collect())
+    rank = lambda i, x: sorted((-round(t(x, y), 9), j % 4, j) for j, y in rows if y)[:k]
+    want = [(i, *r) for i, x in rows if i % 5 == 0 and x for r in rank(i, x)]
+    assert got == want and len({g[0] for g in got}) > 20 and (k < 200 or any(g[1] == 0 for g in got))
