@@ -146,3 +146,38 @@ def condensed_graph(reactants: str, products: str) -> Column:
         return pd.DataFrame(rows, columns=["atoms", "bonds"])
 
     return compose(F.col(reactants), F.col(products))
+
+
+def reaction_key(substances: str) -> Column:
+    """Text of the condensed graph of an array of ``struct<is_product, mapping, parts>``, parts being ``struct<structure, mapping>``.
+
+    Parts are renumbered and united to substances, substances to the two sides. Null where a structure is missing, a
+    mapping gives two atoms one number, or the sides can't be laid over each other.
+    """
+
+    def remapped(g: G.Graph, mapping) -> G.Graph:
+        h = G.renumbered(g, {int(k["from"]): int(k["to"]) for k in (mapping if mapping is not None else ())})
+        if len({a.n for a in h.atoms}) < len(h.atoms):
+            raise G.GraphError("two atoms get one number")
+        return h
+
+    def whole(rows) -> str | None:
+        sides: dict[bool, list[G.Graph]] = {False: [], True: []}
+        for r in rows:
+            parts = [(from_row(p["structure"]), p["mapping"]) for p in (r["parts"] if r["parts"] is not None else ())]
+            if not parts or any(g is None for g, _ in parts):
+                return None
+            sides[bool(r["is_product"])].append(remapped(G.united([remapped(g, m) for g, m in parts]), r["mapping"]))
+        return G.condensed_key(G.united(sides[False]), G.united(sides[True]))
+
+    @F.pandas_udf(T.StringType())
+    def key(s: pd.Series) -> pd.Series:
+        out = []
+        for rows in s:
+            try:
+                out.append(whole(rows))
+            except G.GraphError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return key(F.col(substances))

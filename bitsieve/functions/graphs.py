@@ -407,6 +407,21 @@ def condensed(before: Graph, after: Graph) -> Graph | None:
     return Graph(tuple(right.get(n) or left[n] for n in sorted({*left, *right})), bonds)
 
 
+def condensed_key(before: Graph, after: Graph) -> str | None:
+    """Text that two reactions share if their condensed graphs are equal; None if the sides can't be laid over each other.
+
+    Atoms count by element, isotope and the charges of both sides, as hydrogens and aromatic marks follow from bonds. The
+    components' texts are sorted, so equal components don't have to be told apart.
+    """
+    cgr = condensed(before, after)
+    if cgr is None:
+        return None
+    left, right = ({a.n: a for a in g.atoms} for g in (before, after))
+    charge = {n: (left.get(n, a).charge, a.charge) for n, a in ((a.n, right.get(a.n, a)) for a in cgr.atoms)}
+    atoms = tuple(Atom(a.n, a.symbol if len({*charge[a.n]}) == 1 else f"{a.symbol}{charge[a.n][0]:+d}>", a.isotope, a.charge, False, None) for a in cgr.atoms)
+    return ".".join(sorted(canonical_smiles(c)[0] for c in components(Graph(atoms, cgr.bonds))))
+
+
 def centre(cgr: Graph | None) -> str | None:
     """Canonical text of the subgraph of atoms at changed bonds; None without any."""
     if cgr is None:

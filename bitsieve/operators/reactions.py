@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitsieve.functions.graph_columns import reaction_key
+
 
 def in_role(roles: DataFrame, is_product: bool | None) -> DataFrame:
     """All rows, or those of one role; rows without a role are in neither."""
@@ -28,13 +30,18 @@ def holding_all(query_components: DataFrame, store_components: DataFrame, *, fix
     """``query, reaction``: reactions that hold every component of a query, in its role if ``fix_roles``.
 
     Extra components are allowed and multiplicity doesn't count. ``store_components`` has ``reaction, is_product,
-    component``; ``query_components`` ``query, is_product, component``. Intersection is one count per pair.
+    component``; ``query_components`` ``query, is_product, component``. Pairs are met through the query's rarest
+    component only; intersection is one count per pair.
     """
     on = ["component", "is_product"] if fix_roles else ["component"]
     q = query_components.select("query", *on).distinct()
     store = store_components.select("reaction", *on).distinct()
     need = q.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    met = q.join(store, on).groupBy("query", "reaction").agg(F.count(F.lit(1)).alias("met"))
+    df = store.groupBy(*on).agg(F.count(F.lit(1)).alias("df"))
+    first = Window.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), *on)
+    rarest = q.join(df, on, "left").withColumn("at", F.row_number().over(first)).where("at = 1").select("query", *on)
+    pairs = rarest.join(store, on).select("query", "reaction")
+    met = pairs.join(q, "query").join(store, ["reaction", *on]).groupBy("query", "reaction").agg(F.count(F.lit(1)).alias("met"))
     return met.join(need, "query").where("met = need").select("query", "reaction")
 
 
@@ -62,3 +69,14 @@ def same_centre(found: DataFrame, reactions: DataFrame) -> DataFrame:
     q = c.select(F.col("id").alias("query"), F.col("reaction_center").alias("__c"))
     r = c.select(F.col("id").alias("reaction"), F.col("reaction_center").alias("__c"))
     return found.join(q, "query").join(r, ["reaction", "__c"]).drop("__c")
+
+
+def composed(roles: DataFrame, parts: DataFrame) -> DataFrame:
+    """``reaction, key``: the condensed graph of each reaction's own molecules as text, null where it can't be composed.
+
+    ``roles`` has ``id, reaction, substance, is_product, mapping``; ``parts`` ``id, substance, structure, mapping``.
+    """
+    uses = roles.where("is_product is not null")
+    own = parts.groupBy("substance").agg(F.array_sort(F.collect_list(F.struct("id", "structure", "mapping"))).alias("parts"))
+    sides = uses.join(own, "substance", "left").groupBy("reaction").agg(F.array_sort(F.collect_list(F.struct("id", "is_product", "mapping", "parts"))).alias("substances"))
+    return sides.select("reaction", reaction_key("substances").alias("key"))

@@ -12,7 +12,7 @@ from bitsieve.functions.graph_columns import canonical_text, centre_text, conden
 from bitsieve.functions.sets import PRIME, band_keys, bit_set, coefficients, contains_all, length_window, minhash
 from bitsieve.operators import bad_rows, ingest, reactions, search
 from bitsieve.sources.store import Store
-from bitsieve.sources.tables import table
+from bitsieve.sources.tables import stored, table
 
 LIMIT = 0.7
 LSH = LshConfig()
@@ -199,12 +199,27 @@ def rxn_exact(spark: SparkSession, d: str, *, fix_roles: bool = True) -> DataFra
 
 
 def rxn_exact_mapped(spark: SparkSession, d: str) -> DataFrame:
-    """As well with the same condensed graph."""
+    """As well with the same stored condensed graph; ``rxn_exact_composed`` doesn't need a stored one."""
     cgr = Store(spark, d).rows("cgr", "reaction", "cgrsmiles").where("cgrsmiles is not null")
     found = rxn_exact(spark, d).join(cgr.select(F.col("reaction").alias("query"), F.col("cgrsmiles").alias("__c")), "query")
     return found.join(cgr.withColumnRenamed("cgrsmiles", "__c"), ["reaction", "__c"]).select("query", "reaction").distinct()
 
 
+def _composed(spark: SparkSession, d: str, wanted: DataFrame) -> DataFrame:
+    roles = table(spark, d, "reaction_substance").select("id", "reaction", "substance", "is_product", "mapping").join(wanted, "reaction", "left_semi").dropDuplicates(["id"])
+    roles = stored(roles, "roles")
+    parts = _substance_parts(spark, d, roles.select("substance").distinct()).select("id", "substance", F.coalesce("structure", "other").alias("structure"), "mapping")
+    return stored(reactions.composed(roles, parts), "condensed")
+
+
+def rxn_exact_composed(spark: SparkSession, d: str) -> DataFrame:
+    """Reactions with all components of the query whose own molecules make the same condensed graph; those that can't be composed equal none."""
+    found = stored(rxn_exact(spark, d), "found")
+    asked = _composed(spark, d, found.select(F.col("query").alias("reaction")).distinct()).where("key is not null").withColumnRenamed("reaction", "query")
+    found = found.join(asked, "query")  # candidates are composed only for queries that can be
+    return found.join(_composed(spark, d, found.select("reaction").distinct()), ["reaction", "key"]).select("query", "reaction")
+
+
 def _component_hits(spark: SparkSession, d: str, *, similar: bool) -> DataFrame:
     """query, component_no, reaction, molecule, t: each component's molecule hits, lifted in its role."""
     store = Store(spark, d)
@@ -323,12 +338,20 @@ def smiles_parse(spark: SparkSession, d: str) -> DataFrame:
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+def _substance_parts(spark: SparkSession, d: str, wanted: DataFrame | None = None) -> DataFrame:
+    parts = table(spark, d, "substance_structure").select("id", "substance", "molecule", "non_organic", "mapping")
+    canonic = table(spark, d, "molecule_structure").where("is_canonic").select("molecule", "structure")
+    if wanted is not None:
+        parts = stored(parts.join(wanted, "substance", "left_semi"), "parts")
+        canonic = canonic.join(parts.select("molecule").distinct(), "molecule", "left_semi")
+    parts, canonic = parts.dropDuplicates(["id"]), canonic.dropDuplicates(["molecule"])
+    other = table(spark, d, "non_organic").select(F.col("id").alias("non_organic"), F.col("structure").alias("other"))
+    return parts.join(canonic, "molecule", "left").join(other, "non_organic", "left")
+
+
 def substance_graphs(spark: SparkSession, d: str) -> DataFrame:
     """Canonical text of each substance's graph, its components united after renumbering."""
-    parts = table(spark, d, "substance_structure").select("id", "substance", "molecule", "non_organic", "mapping").dropDuplicates(["id"])
-    canonic = table(spark, d, "molecule_structure").where("is_canonic").select("molecule", "structure").dropDuplicates(["molecule"])
-    other = table(spark, d, "non_organic").select(F.col("id").alias("non_organic"), F.col("structure").alias("other"))
-    whole = parts.join(canonic, "molecule", "left").join(other, "non_organic", "left")
+    whole = _substance_parts(spark, d)
     arr = whole.select("substance", "id", F.struct(F.coalesce("structure", "other").alias("structure"), "mapping").alias("p"))
     grouped = arr.groupBy("substance").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "p"))), lambda x: x.p).alias("parts"))
     return grouped.withColumn("graph", united_graph("parts")).select("substance", canonical_text("graph").alias("smiles"))
@@ -356,7 +379,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fp_build, minhash_sig, lsh_index, mol_exact, mol_similar, mol_similar_unordered, mol_similar_exact, batch_similar, mol_substructure_screen, containment_inverted,
-        len_prefilter, mol_substructure, mol_substructure_unordered, distinct_on, nonorganic_reactions, rxn_exact, rxn_exact_mapped, rxn_similar, rxn_similar_center,
+        len_prefilter, mol_substructure, mol_substructure_unordered, distinct_on, nonorganic_reactions, rxn_exact, rxn_exact_mapped, rxn_exact_composed, rxn_similar, rxn_similar_center,
         rxn_substructure, rxn_substructure_center, cgr_exact, cgr_similar, cgr_similar_exact, cgr_substructure_screen, cgr_substructure, cgr_substructure_unordered,
         substance_components, organic_split, source_links, dedup_upsert, smiles_parse, substance_graphs, reaction_centres, condensed_sides,
     )

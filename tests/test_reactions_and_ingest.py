@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitsieve.config import EngineConfig
-from bitsieve.functions.graph_columns import contains_graph, parsed
+from bitsieve.functions.graph_columns import contains_graph, parsed, to_row
+from bitsieve.functions.graphs import condensed_key, read_smiles
 from bitsieve.operators import ingest, reactions
+from bitsieve.plans import search_queries
 from bitsieve.sources.store import SCHEMAS, Store, initialise
 
 
@@ -80,3 +82,31 @@ def test_empty_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.structures().count() == 0 and store.molecule_lsh().count() == 0
     assert all(spark.read.parquet(f"{tmp_path}/s/{n}.parquet").schema == s for n, s in SCHEMAS.items())
+
+
+def test_composed_graphs_need_no_stored_one(spark, tmp_path):
+    folder = str(tmp_path)
+    pairs = lambda *numbers: [(i + 1, n) for i, n in enumerate(numbers)]
+    uses = {  # CBr, O >> CO, Br: substance, is_product, numbers of its atoms
+        100: [(1, False, (1, 2)), (3, False, (3,)), (2, True, (1, 3)), (4, True, (2,))],
+        101: [(1, False, (11, 15)), (3, False, (12,)), (2, True, (11, 12)), (4, True, (15,))],  # the same
+        102: [(1, False, (1, 2)), (3, False, (3,)), (2, True, (7, 3)), (4, True, (2,))],  # another carbon
+        103: [(1, False, ()), (3, False, ()), (2, True, ()), (4, True, ())],  # elements clash
+        200: [(1, False, (1, 1)), (3, False, (3,)), (2, True, (1, 3)), (4, True, (2,))],  # two atoms of one number
+    }
+    tables = {
+        "molecule_structure": [(i, i, None, None, None, None, True, to_row(read_smiles(x)), None) for i, x in enumerate(("CBr", "CO", "O", "Br"), 1)],
+        "non_organic": [], "cgr": [],
+        "substance_structure": [(i, i, i, None, 1.0, None) for i in range(1, 5)],
+        "reaction": [(r, None) for r in uses],
+        "reaction_substance": [(10 * r + i, r, x, role, pairs(*n) or None) for r, rows in uses.items() for i, (x, role, n) in enumerate(rows)],
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    assert search_queries.rxn_exact(spark, folder).count() == 10 and search_queries.rxn_exact_mapped(spark, folder).count() == 0
+    assert {(r.query, r.reaction) for r in search_queries.rxn_exact_composed(spark, folder).collect()} == {(100, 100), (100, 101)}
+
+
+def test_condensed_graphs_with_other_charges_differ():
+    g = [read_smiles(x) for x in ("C[O-:1]", "C[OH:1]", "C[OH2+:1]")]
+    assert len({condensed_key(a, b) for a in g for b in g}) == 9
