@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitsieve.config import FingerprintConfig
 from bitsieve.functions import graphs as G
 
 ATOM = T.StructType().add("n", "integer").add("symbol", "string").add("isotope", "integer").add("charge", "integer").add("aromatic", "boolean").add("h", "integer")
@@ -59,7 +60,11 @@ def contains_graph(target: str, query: str) -> Column:
     return test(F.col(target), F.col(query))
 
 
-def parsed(smiles: str | Column, max_radius: int = 6, length: int = 2048) -> Column:
+def _bits(g: G.Graph, config: FingerprintConfig) -> list[int]:
+    return G.fingerprint(g, min_radius=config.min_radius, max_radius=config.max_radius, length=config.length, active_bits=config.number_active_bits, bit_pairs=config.number_bit_pairs)
+
+
+def parsed(smiles: str | Column, config: FingerprintConfig = FingerprintConfig()) -> Column:
     """``error`` or the components of a molecule with their signature, text, fingerprint and class."""
 
     @F.pandas_udf(PARSED)
@@ -71,7 +76,7 @@ def parsed(smiles: str | Column, max_radius: int = 6, length: int = 2048) -> Col
                 for g in G.components(G.read_smiles(text or "")):
                     name, order = G.canonical_smiles(g)
                     parts.append({
-                        "signature": G.signature(g), "smiles": name, "fingerprint": G.fingerprint(g, max_radius=max_radius, length=length),
+                        "signature": G.signature(g), "smiles": name, "fingerprint": _bits(g, config),
                         "organic": G.is_organic(g), "structure": to_row(g), "fast_mapping": order,
                     })
                 rows.append((None, parts))
@@ -82,12 +87,12 @@ def parsed(smiles: str | Column, max_radius: int = 6, length: int = 2048) -> Col
     return parse(F.col(smiles) if isinstance(smiles, str) else smiles)
 
 
-def graph_fingerprint(structure: str, max_radius: int = 4, length: int = 2048) -> Column:
+def graph_fingerprint(structure: str, config: FingerprintConfig = FingerprintConfig()) -> Column:
     """Sorted bits of the linear fragments of a stored graph."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bits(s: pd.DataFrame) -> pd.Series:
-        return pd.Series([G.fingerprint(g, max_radius=max_radius, length=length) if (g := from_row(x)) else None for x in _rows(s)])
+        return pd.Series([_bits(g, config) if (g := from_row(x)) else None for x in _rows(s)])
 
     return bits(F.col(structure))
 

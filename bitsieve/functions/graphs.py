@@ -305,7 +305,7 @@ def signature(g: Graph) -> bytes:
     return hashlib.sha512(canonical_smiles(g)[0].encode()).digest()
 
 
-def fingerprint(g: Graph, *, min_radius: int = 1, max_radius: int = 4, length: int = 2048, active_bits: int = 2, bit_pairs: int = 4) -> list[int]:
+def fingerprint(g: Graph, *, min_radius: int = 1, max_radius: int = 6, length: int = 2048, active_bits: int = 2, bit_pairs: int = 4) -> list[int]:
     """Sorted bits of the linear fragments of ``min_radius``..``max_radius`` atoms.
 
     A fragment reads the same from both ends; its k-th occurrence (up to ``bit_pairs``) sets ``active_bits``

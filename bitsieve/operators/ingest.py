@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitsieve.config import FingerprintConfig
 from bitsieve.functions.graph_columns import parsed
 
 
@@ -36,9 +39,10 @@ def smiles_lines(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, line_no long, raw string")
 
 
-def parsed_components(rows: DataFrame, smiles: str, keep: list[str], *, max_radius: int = 6) -> tuple[DataFrame, DataFrame]:
+def parsed_components(rows: DataFrame, smiles: str, keep: list[str], *, config: FingerprintConfig = FingerprintConfig(), max_radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(components, quarantine): one row per component of each parsed line; lines that are no molecule, with the error."""
-    out = rows.select(*keep, F.col(smiles).alias("__smiles")).withColumn("__p", parsed("__smiles", max_radius=max_radius))
+    config = config if max_radius is None else replace(config, max_radius=max_radius)
+    out = rows.select(*keep, F.col(smiles).alias("__smiles")).withColumn("__p", parsed("__smiles", config))
     good = out.where("__p.error is null").select(*keep, F.posexplode("__p.components").alias("component_no", "__c")).select(*keep, "component_no", "__c.*")
     return good, out.where("__p.error is not null").select(*keep, F.col("__p.error").alias("error"))
 

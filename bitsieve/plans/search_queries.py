@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.config import LshConfig
+from bitsieve.config import EngineConfig, LshConfig
 from bitsieve.functions.graph_columns import canonical_text, centre_text, condensed_graph, contains_graph, graph_fingerprint, united_graph
 from bitsieve.functions.sets import PRIME, band_keys, bit_set, coefficients, contains_all, length_window, minhash
 from bitsieve.operators import bad_rows, ingest, reactions, search
@@ -16,6 +16,7 @@ from bitsieve.sources.tables import stored, table
 
 LIMIT = 0.7
 LSH = LshConfig()
+FINGERPRINT = EngineConfig().fingerprint
 EVERY = 100
 ROLES = {"": None, "_product": True, "_reactant": False}
 
@@ -30,7 +31,7 @@ def _queries(store: DataFrame, key: str) -> DataFrame:
 def fp_build(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of the stored graphs by the engine's own fragmenter."""
     rows = table(spark, d, "molecule_structure").select("id", "structure").dropDuplicates(["id"])
-    bits = rows.select("id", graph_fingerprint("structure").alias("fp"))
+    bits = rows.select("id", graph_fingerprint("structure", FINGERPRINT).alias("fp"))
     return bits.select("id", F.size("fp").alias("fingerprint_len"), F.array_join(F.col("fp").cast("array<string>"), ",").alias("bits"))
 
 
@@ -333,7 +334,7 @@ def dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
 def smiles_parse(spark: SparkSession, d: str) -> DataFrame:
     """Components of the loadable lines, with signature, canonical text and class; lines that are no molecule."""
     lines = bad_rows.parse_rows(table(spark, d, "upload_smi"), "raw", bad_rows.SMI_LINE, ["file_no", "line_no"], "line_no").where("reason is null").distinct()
-    good, bad = ingest.parsed_components(lines, "smi", ["file_no", "line_no", "idx"], max_radius=4)
+    good, bad = ingest.parsed_components(lines, "smi", ["file_no", "line_no", "idx"], config=FINGERPRINT)
     good = good.select("file_no", "line_no", "idx", "component_no", F.hex("signature").alias("signature"), "smiles", F.size("fingerprint").alias("fingerprint_len"), "organic", F.lit(None).cast("string").alias("error"))
     return good.unionByName(bad, allowMissingColumns=True)
 

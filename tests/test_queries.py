@@ -1,6 +1,10 @@
 import pytest
 
+from bitsieve.config import EngineConfig
+from bitsieve.functions.graph_columns import from_row
+from bitsieve.functions.graphs import fingerprint, read_smiles
 from bitsieve.plans import registry
+from bitsieve.sources.tables import table
 from tests.compare import connect, differences
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -30,3 +34,14 @@ def test_verified_hits_are_screened_hits_and_hold_the_query(spark, small_dir, na
 def test_composed_graphs_keep_their_changes(spark, small_dir):
     rows = QUERIES["condensed_sides"](spark, small_dir).collect()
     assert rows and all(r.changed and r.changed > 0 for r in rows)
+
+
+def test_fingerprints_follow_the_settings(spark, small_dir):
+    c = EngineConfig().fingerprint
+    own = lambda g: fingerprint(g, min_radius=c.min_radius, max_radius=c.max_radius, length=c.length, active_bits=c.number_active_bits, bit_pairs=c.number_bit_pairs)
+    built = {r.id: r.bits for r in QUERIES["fp_build"](spark, small_dir).collect()}
+    rows = table(spark, small_dir, "molecule_structure").where("structure is not null").collect()
+    assert rows and all(built[r.id] == ",".join(map(str, own(from_row(r.structure.asDict(True))))) for r in rows)
+    read = [r for r in QUERIES["smiles_parse"](spark, small_dir).collect() if r.smiles]
+    assert read and all(r.fingerprint_len == len(own(read_smiles(r.smiles))) for r in read)
+    assert c.max_radius == 6 and fingerprint(read_smiles("CCCCCCO")) == own(read_smiles("CCCCCCO"))
