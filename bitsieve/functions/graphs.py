@@ -438,4 +438,7 @@ def read_reaction(text: str) -> tuple[list[Graph], list[Graph]]:
     sides = text.split(">")
     if len(sides) != 3:
         raise GraphError("a reaction has two arrows")
-    return tuple([g for part in side.split(".") if part for g in [read_smiles(part)]] for side in (sides[0], sides[2]))
+    read = tuple([read_smiles(part) for part in side.split(".") if part] for side in (sides[0], sides[2]))
+    if any(len(components(g)) > 1 for side in read for g in side):
+        raise GraphError("a part of a reaction isn't connected")
+    return read

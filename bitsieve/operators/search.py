@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitsieve.config import LshConfig
+from bitsieve.config import LshConfig, score_limit
 from bitsieve.functions.sets import band_keys, minhash, shared, tanimoto
 
 #: Sets and queries that meet at a time in ``top_each``.
@@ -33,6 +33,7 @@ def lsh_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def scored(pairs: DataFrame, queries: DataFrame, store: DataFrame, key: str, limit: float | None) -> DataFrame:
     """``query, <store columns but fp>, t`` of candidate pairs; only t > limit where one is given."""
+    limit = None if limit is None else score_limit(limit, 0.0)
     both = pairs.join(queries.select("query", F.col("fp").alias("__q")), "query").join(store.withColumnRenamed("fp", "__fp"), pairs["structure_id"] == store[key])
     out = both.withColumn("t", F.round(tanimoto("__q", "__fp"), 9)).drop("__q", "__fp", "structure_id")
     return out if limit is None else out.where(F.col("t") > limit)
@@ -44,6 +45,7 @@ def similar_exact(queries: DataFrame, store: DataFrame, key: str, limit: float)
     Bits are ordered by how many stored sets hold them. Two sets above the limit share a bit among the first
     ``n - ceil(limit n) + 1`` of each, rare ones; sets that share one there are scored exactly.
     """
+    limit = score_limit(limit, 0.0)
     ranks = store.select(F.explode("fp").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(sets: DataFrame, name: str) -> DataFrame:

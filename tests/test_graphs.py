@@ -89,3 +89,9 @@ def test_random_trees_against_shuffles():
         except GraphError:
             continue
         assert canonical_smiles(shuffled(g, rng))[0] == canonical_smiles(g)[0]
+
+
+def test_parts_of_a_reaction_are_connected():
+    with pytest.raises(GraphError):
+        read_reaction("(C)C>>CC")
+    assert [len(side) for side in read_reaction("CBr.O>>CO.Br")] == [2, 2]

@@ -96,3 +96,12 @@ def test_best_of_every_query(data, k, monkeypatch):
     rank = lambda i, x: sorted((-round(t(x, y), 9), j % 4, j) for j, y in rows if y)[:k]
     want = [(i, *r) for i, x in rows if i % 5 == 0 and x for r in rank(i, x)]
     assert got == want and len({g[0] for g in got}) > 20 and (k < 200 or any(g[1] == 0 for g in got))
+
+
+@pytest.mark.parametrize("bad", [-0.1, 1.1, "x", True])
+def test_searches_refuse_bad_limits(data, bad):
+    _, store, queries = data
+    with pytest.raises(ValueError):
+        search.similar_exact(queries, store, "id", bad)
+    with pytest.raises(ValueError):
+        search.scored(queries.select("query", F.col("query").alias("structure_id")), queries, store, "id", bad)
