@@ -1,22 +1,21 @@
 """All pairs of records whose sets of values overlap above a Jaccard threshold. Exact.
 
-Pivot partitioning in projections. Pivots for whole sets don't work here: at a threshold of 0.7 the
-triangle inequality lets a set differ from its partner by so much that, measured on 111,000
-sets, each had to be replicated to 717 of 4,096 pivot cells (README). So the universe is
-dealt into G parts, frequent items evenly, and the pivots are the projections of the records
-themselves. Partners x, y differ in at most D items, D following from their sizes; with 2 G > D
-some part of the universe sees a distance |x_g - y_g| + |y_g - x_g| of at most one. Each record's home in a
-part is its own projection (distance 0), and it is replicated to the pivots at distance one,
-which are the projections less one item. Pairs are joined within cells only.
-
-Within a cell a pair first has to pass the triangle bound on a 64-bit parity sketch (the
+Partition and deletion, not pivots: at a threshold of 0.7 the triangle inequality lets a set differ from its
+partner by so much that, measured on 111,000 sets, each had to be replicated to 717 of 4,096 pivot cells
+(README; ``tests/llm/measure_pivots.py`` measures it). So the universe is dealt into G parts, frequent items evenly. Partners x, y
+differ in at most D items, D following from their sizes, hence in any k = D // 2 + 1 parts there is one with a
+distance |x_g - y_g| + |y_g - x_g| of at most one. The smaller set x is written to the cells of all its projections
+and of all its projections less an item; the larger set y asks in k of its G parts only, and may choose
+which: it leaves out the parts whose cells it expects to be fullest, by the frequencies of its own items. Pairs are joined within cells only.
+
+Within a cell a pair first has to pass a bound on a 64-bit parity sketch (the
 sketches of x and y differ in no more bits than the sets differ in items); what passes is
 scored on the whole sets. Both bounds are lossless, and hash collisions only add candidates.
 
-G depends on the sizes, so each pair of size bands is a join of its own; the smaller set (or the one of
-smaller hash) takes the role ``x``. Equal sets are one class; links are found between classes and
-handed to the members afterwards. All joins are equi-joins on 64-bit keys that the planner
-may split where a key is hot.
+Sizes of y fall into classes, each twice as wide as the next smaller one, with a G of its own; x is written for the one or two classes
+that its partners can be in. Of two sets of one size that of smaller hash takes the role ``x``. Equal sets are one class
+of records; links are found between these and handed to the members afterwards. All joins are equi-joins on 64-bit keys that the
+planner may split where a key is hot.
 """
 
 from __future__ import annotations
@@ -31,31 +30,32 @@ from pyspark.sql import functions as F
 from bitsieve.llm.pivots import Threshold
 from bitsieve.sources.tables import stored
 
-#: Width of a size band, and how many of the most frequent items are dealt evenly; the rest are dealt by hash.
-BAND = 1.25
+#: How many of the most frequent items are dealt evenly; the rest are dealt by hash.
 DEALT = 4096
+#: Parts beyond those the largest size of a class needs: what its largest sets may leave out.
+SPARE = 1
+#: Numbers of a block of (set, part) pairs worked on at a time.
+CELL_BLOCK = 1 << 20
 
 
-def band_edges(largest: int) -> list[int]:
-    edges = [1]
-    while edges[-1] <= largest:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
+def parts_needed(m, t: Threshold):
+    """Of how many parts at least one is at a distance of at most one, for sets of size m and partners no larger.
 
-
-def band_of(n: int, edges: list[int]) -> int:
-    return int(np.searchsorted(edges, n, side="right")) - 1
+    The difference n + m - 2 least(n + m) grows with n, but for a step of rounding: the largest n or the one below decide.
+    """
+    m = np.asarray(m, np.int64)
+    at = lambda s: s - 2 * t.least_shared(s)
+    return np.maximum(np.maximum(at(2 * m), at(2 * m - 1)), 0) // 2 + 1
 
 
-def parts_needed(i: int, j: int, edges: list[int], t: Threshold) -> int | None:
-    """G for smaller sets of band i and larger sets of band j; None if no sizes fit."""
-    n = np.arange(edges[i], edges[i + 1])[:, None]
-    m = np.arange(edges[j], edges[j + 1])[None, :]
-    least = t.least_shared(n + m)
-    fits = (m >= n) & (least <= n)
-    if not fits.any():
-        return None
-    return int((n + m - 2 * least)[fits].max()) // 2 + 1
+def size_classes(largest: int, t: Threshold) -> list[tuple[int, int, int]]:
+    """(least size, largest size, G) of the classes of y, up to the largest set."""
+    out = []
+    while largest > 0:
+        low = largest // 2 + 1
+        out.append((low, largest, int(parts_needed(np.arange(low, largest + 1), t).max()) + SPARE))
+        largest = low - 1
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,14 +66,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _cells(frequent: list[int], largest: int, t: Threshold):
-    """Rows (role, cell, h, sketch, n) of each set, for all pairs of size bands it takes part in."""
-    edges = band_edges(largest)
-    bands = len(edges) - 1
-    plan = {(i, j): g for i in range(bands) for j in range(i, bands) if (g := parts_needed(i, j, edges, t))}
-    by_rank = np.array(frequent, np.int64)
+def _cells(frequent: list[tuple[int, int]], n_sets: int, largest: int, t: Threshold):
+    """Rows (role, cell, h, sketch, n) of each set, for all size classes it takes part in."""
+    classes = size_classes(largest, t)
+    by_rank = np.array([item for item, _ in frequent], np.int64)
     order = np.argsort(by_rank, kind="stable")
     known = by_rank[order]
+    rare = np.log(max(n_sets, 1) / max(min((n for _, n in frequent), default=1), 1))
+    worth = np.log(max(n_sets, 1) / np.array([n for _, n in frequent] or [1]))[order] if len(known) else np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -82,48 +82,52 @@ def _cells(frequent: list[int], largest: int, t: Threshold):
                     yield from emit(batch.slice(s, 2000))
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not batch.num_rows:
-            return
         lists = batch.column("items")
         offsets = lists.offsets.to_numpy()
         items = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
         n = np.diff(offsets).astype(np.int64)
-        rec = np.repeat(np.arange(len(n)), n)
+        first = offsets[:-1] - offsets[0]
         h, sketch = batch.column("h").to_numpy(), batch.column("sketch").to_numpy()
         value = mix(items + 0x51ED)
-        rank = np.full(len(items), -1)
+        rank, weight = np.full(len(items), -1), np.full(len(items), rare)
         if len(known):
             at = np.minimum(np.searchsorted(known, items), len(known) - 1)
-            rank = np.where(known[at] == items, order[at], -1)
-        band = np.searchsorted(edges, n, side="right") - 1
-        for (i, j), g in plan.items():
-            turn = rank % (2 * g)
-            part = np.where(rank >= 0, np.where(turn < g, turn, 2 * g - 1 - turn), (value >> np.uint64(33)).astype(np.int64) % g)
-            sums = np.zeros(len(n) * g, np.uint64)
-            np.add.at(sums, rec * g + part, value)
-            salt = mix(np.arange(g, dtype=np.uint64) * np.uint64(4) + np.uint64((i * 4099 + j) << 20))
-            # Keys of two kinds: 0 meets full projections of y, 1 those of y less an item.
-            for role, b in (("x", i), ("y", j)):
-                own = band == b
-                if not own.any():
-                    continue
-                r_full = np.repeat(np.flatnonzero(own), g)
-                p_full = np.tile(np.arange(g), own.sum())
-                full = sums[r_full * g + p_full]
-                less = own[rec]
-                r_less, p_less = rec[less], part[less]
-                short = sums[r_less * g + p_less] - value[less]
-                key = lambda s, p, kind: mix(s ^ salt[p]) + np.uint64(kind)
-                if role == "x":
-                    recs = np.concatenate([r_full, r_full, r_less])
-                    keys = np.concatenate([key(full, p_full, 0), key(full, p_full, 1), key(short, p_less, 0)])
-                else:
-                    recs = np.concatenate([r_full, r_less])
-                    keys = np.concatenate([key(full, p_full, 0), key(short, p_less, 1)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(recs), role == "y")), pa.array(keys.view(np.int64)), pa.array(h[recs]), pa.array(sketch[recs]), pa.array(n[recs].astype(np.int32))],
-                    ["larger", "cell", "h", "sketch", "n"],
-                )
+            hit = known[at] == items
+            rank, weight = np.where(hit, order[at], -1), np.where(hit, worth[at], rare)
+        def rows(larger: bool, recs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(recs), larger)), pa.array(keys.view(np.int64)), pa.array(h[recs]), pa.array(sketch[recs]), pa.array(n[recs].astype(np.int32))],
+                ["larger", "cell", "h", "sketch", "n"],
+            )
+
+        for number, (low, high, g) in enumerate(classes):
+            near = np.flatnonzero((n <= high) & (t.least_shared(n + np.maximum(n, low)) <= n))
+            step = max(1, CELL_BLOCK // g)
+            for s in range(0, len(near), step):
+                own = near[s : s + step]
+                size = n[own]
+                at = np.repeat(first[own] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                rec = np.repeat(np.arange(len(own)), size)
+                turn = rank[at] % (2 * g)
+                part = np.where(rank[at] >= 0, np.where(turn < g, turn, 2 * g - 1 - turn), (value[at] >> np.uint64(33)).astype(np.int64) % g)
+                place = rec * g + part
+                sums = np.zeros(len(own) * g, np.uint64)
+                np.add.at(sums, place, value[at])
+                # What a part tells, at worst: the weight of its items but the rarest.
+                total, top = np.bincount(place, weight[at], len(own) * g), np.zeros(len(own) * g)
+                np.maximum.at(top, place, weight[at])
+                told = np.argsort((top - total).reshape(-1, g), axis=1, kind="stable")
+                asked = np.zeros((len(own), g), bool)
+                np.put_along_axis(asked, told, np.arange(g)[None, :] < np.where(size >= low, parts_needed(size, t), 0)[:, None], 1)
+                asked = asked.ravel()
+                salt = mix(np.arange(g, dtype=np.uint64) + np.uint64((number + 1) << 32))
+                # Keys of two kinds: 0 meets full projections of y, 1 those of y less an item.
+                key = lambda v, p, kind: mix(v ^ salt[p]) + np.uint64(kind)
+                short = sums[place] - value[at]
+                full, every = np.arange(len(sums)), np.tile(np.arange(g), len(own))
+                yield rows(False, own[np.concatenate([full // g, full // g, rec])], np.concatenate([key(sums, every, 0), key(sums, every, 1), key(short, part, 0)]))
+                full, less = full[asked], asked[place]
+                yield rows(True, own[np.concatenate([full // g, rec[less]])], np.concatenate([key(sums[full], every[full], 0), key(short[less], part[less], 1)]))
 
     return run
 
@@ -147,7 +151,7 @@ def similar_classes(sets: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame
     )
     frequent = classes.select(F.explode("items").alias("item")).groupBy("item").count().orderBy(F.desc("count"), "item").limit(DEALT).collect()
     largest = classes.agg(F.max("n")).first()[0] or 1
-    cells = classes.select("h", "sketch", "items").mapInArrow(_cells([r.item for r in frequent], largest, t), "larger boolean, cell long, h long, sketch long, n int")
+    cells = classes.select("h", "sketch", "items").mapInArrow(_cells([(r["item"], r["count"]) for r in frequent], classes.count(), largest, t), "larger boolean, cell long, h long, sketch long, n int")
     x = cells.where("not larger").select("cell", F.col("h").alias("hx"), F.col("sketch").alias("sx"), F.col("n").alias("nx"))
     y = cells.where("larger").select("cell", F.col("h").alias("hy"), F.col("sketch").alias("sy"), F.col("n").alias("ny"))
     total = "(cast(nx + ny as bigint))"
