@@ -15,13 +15,13 @@ of 0.7, where nearly all distances lie between 0.8 and 1), hence this form.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 
 NEVER = 1 << 29
+#: Size buckets of a cell have numbers below this: a slot is cell * SLOTS + bucket.
+SLOTS = 4096
 
 
 @dataclass(frozen=True)
@@ -94,31 +94,6 @@ def kept(key: str, make):
     return cache[key]
 
 
-def packed(values: np.ndarray) -> bytes:
-    """A sorted set of ints as bytes: 2, 4 or 8 per item, told by the first byte."""
-    values = np.asarray(values, np.int64)
-    if not len(values) or (values[0] >= 0 and values[-1] < 1 << 16):
-        return b"\2" + values.astype("<u2").tobytes()
-    if values[0] >= -(1 << 31) and values[-1] < 1 << 31:
-        return b"\4" + values.astype("<i4").tobytes()
-    return b"\x08" + values.astype("<i8").tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, {2: "<u2", 4: "<i4", 8: "<i8"}[data[0]], offset=1).astype(np.int64)
-
-
-def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``packed`` and ``n`` for the column ``items`` (sorted, distinct, not null)."""
-    for batch in batches:
-        lists = batch.column("items")
-        offsets = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy().astype(np.int64)
-        data = [packed(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        cols = {c: batch.column(c) for c in batch.schema.names if c != "items"}
-        yield pa.RecordBatch.from_pydict(cols | {"packed": pa.array(data, pa.binary()), "n": pa.array(np.diff(offsets), pa.int32())})
-
-
 class Bounds:
     """Which cells can hold a partner of a set: from the (size, overlap) pairs of their members.
 
@@ -129,32 +104,51 @@ class Bounds:
     def __init__(self, k: int, rows: list[tuple[int, int, int, int]], threshold: Threshold, *, smaller_only: bool):
         self.k, self.t, self.smaller_only = k, threshold, smaller_only
         self.rows = np.array(rows, np.int64).reshape(-1, 4)
+        self.slot = self.rows[:, 0] * SLOTS + self.rows[:, 1]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_row: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _beyond(self, b: int, m: int) -> tuple[int, int] | None:
+        """The most that a member of size bucket b may have beyond a match of size m, and the match beyond it; None if no sizes fit."""
+        n0, n1 = bucket_range(b)
+        if self.smaller_only and n0 > m:
+            return None
+        n = np.arange(n0, (min(n1, m) if self.smaller_only else n1) + 1)
+        least = self.t.least_shared(n + m)
+        fits = (least <= n) & (least <= m)
+        return (int((n - least)[fits].max()), int((m - least)[fits].max())) if fits.any() else None
 
     def limits(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Per cell, the least and largest overlap with its pivot that a set of size m needs."""
         if m not in self.by_size:
             low, high = np.full(self.k, NEVER), np.full(self.k, -NEVER)
             for b in np.unique(self.rows[:, 1]):
-                n0, n1 = bucket_range(int(b))
-                if self.smaller_only and n0 > m:
+                beyond = self._beyond(int(b), m)
+                if not beyond:
                     continue
-                # Sizes n0..n1 against m: the most that x may have beyond y, and y beyond x.
-                top = min(n1, m) if self.smaller_only else n1
-                n = np.unique(np.clip([n0, top], n0, top)) if top - n0 < 2 else np.arange(n0, top + 1)
-                least = self.t.least_shared(n + m)
-                fits = (least <= n) & (least <= m)
-                if not fits.any():
-                    continue
-                beyond_x, beyond_y = (n - least)[fits].max(), (m - least)[fits].max()
                 rows = self.rows[self.rows[:, 1] == b]
-                np.minimum.at(low, rows[:, 0], rows[:, 2] - beyond_x)
-                np.maximum.at(high, rows[:, 0], rows[:, 3] + beyond_y)
+                np.minimum.at(low, rows[:, 0], rows[:, 2] - beyond[0])
+                np.maximum.at(high, rows[:, 0], rows[:, 3] + beyond[1])
             if len(self.by_size) > 4096:
                 self.by_size.clear()
             self.by_size[m] = low, high
         return self.by_size[m]
 
+    def rows_for(self, overlaps: np.ndarray, m: int) -> np.ndarray:
+        """Numbers of the rows (cell and size bucket) whose members can match a set of size m with these overlaps."""
+        if m not in self.by_row:
+            low, high = np.full(len(self.rows), NEVER), np.full(len(self.rows), -NEVER)
+            for b in np.unique(self.rows[:, 1]):
+                if beyond := self._beyond(int(b), m):
+                    at = self.rows[:, 1] == b
+                    low[at], high[at] = self.rows[at, 2] - beyond[0], self.rows[at, 3] + beyond[1]
+            if len(self.by_row) > 4096:
+                self.by_row.clear()
+            self.by_row[m] = low, high
+        low, high = self.by_row[m]
+        met = overlaps[self.rows[:, 0]]
+        return np.flatnonzero((met >= low) & (met <= high))
+
     def cells(self, overlaps: np.ndarray, m: int) -> np.ndarray:
         low, high = self.limits(m)
         return np.flatnonzero((overlaps >= low) & (overlaps <= high))
@@ -163,35 +157,3 @@ class Bounds:
 def nearest(overlaps: np.ndarray, n: int, sizes: np.ndarray) -> int:
     """The pivot of least Jaccard distance; the first of equals."""
     return int(np.argmax(overlaps / np.maximum(n + sizes - overlaps, 1)))
-
-
-class Block:
-    """Members of one cell (or a part of it), asked for the items they share with other sets."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        self.items, col = np.unique(flat, return_inverse=True)
-        self.row = np.repeat(np.arange(len(sets)), self.n)
-        self.dense = None
-        if len(sets) * len(self.items) <= 16 << 20:
-            self.dense = np.zeros((len(self.items), len(sets)), np.float32)
-            self.dense[col, self.row] = 1
-        order = np.argsort(col, kind="stable")
-        self.by_item, self.starts = self.row[order], np.searchsorted(col[order], np.arange(len(self.items) + 1))
-
-    def shared(self, sets: list[np.ndarray]) -> np.ndarray:
-        """len(sets) x members."""
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(self.items, flat), len(self.items) - 1)
-        hit = self.items[at] == flat
-        at, owner = at[hit], owner[hit]
-        if self.dense is not None and len(sets) * len(self.items) <= 16 << 20:
-            probe = np.zeros((len(sets), len(self.items)), np.float32)
-            probe[owner, at] = 1
-            return (probe @ self.dense).astype(np.int64)
-        out = np.zeros((len(sets), len(self.n)), np.int64)
-        for a, o in zip(at, owner, strict=True):
-            out[o, self.by_item[self.starts[a] : self.starts[a + 1]]] += 1
-        return out

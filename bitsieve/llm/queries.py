@@ -61,10 +61,12 @@ def _sorted_set(column: str):
 
 def _structure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "molecule_structure").select(F.col("signature").alias("exact_key"), _sorted_set("fingerprint").alias("items"))
-    index = arrivals.SetIndex(spark, known, Threshold(9, 10, strict=False))
+    index = arrivals.SetIndex.build(spark, known, Threshold(9, 10, strict=False))
     new = table(spark, sf_dir, "incoming_structure").where("incoming_id is not null")
     new = new.select(F.col("incoming_id").alias("seq"), "batch_no", F.col("signature").alias("exact_key"), _sorted_set("fingerprint").alias("items")).distinct()
-    return arrivals.in_batches(new, "batch_no", index).select(F.lit("structure").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
+    out = arrivals.in_batches(new, "batch_no", index)
+    index.close(delete=True)
+    return out.select(F.lit("structure").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
 
 
 def _mixtures(rows: DataFrame, key: str) -> DataFrame:
@@ -78,7 +80,7 @@ def _substance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "substance_structure").select("id", "substance", "molecule", "non_organic", "molar_fraction").distinct()
     named = F.coalesce(F.concat(F.lit("m"), F.col("molecule").cast("string")), F.concat(F.lit("n"), F.col("non_organic").cast("string")), F.lit("?"))
     known = _mixtures(rows.select("substance", named.alias("component"), F.col("molar_fraction").alias("fraction")), "substance")
-    index = arrivals.MixtureIndex(spark, known, 0.045)
+    index = arrivals.MixtureIndex.build(spark, known, 0.045)
 
     new = table(spark, sf_dir, "incoming_substance").where("incoming_id is not null").select("incoming_id", "batch_no", "components").distinct()
     parts = new.select("incoming_id", F.explode("components").alias("c")).select("incoming_id", F.col("c.signature").alias("signature"), F.col("c.molar_fraction").alias("fraction"))
@@ -87,7 +89,9 @@ def _substance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stands_for = F.coalesce(F.concat(F.lit("m"), F.col("molecule").cast("string")), F.concat(F.lit("n"), F.col("non_organic").cast("string")), F.concat(F.lit("s"), F.hex("signature")), F.lit("?"))
     parts = parts.join(molecules, "signature", "left").join(others, "signature", "left").select("incoming_id", stands_for.alias("component"), "fraction")
     mixed = new.select(F.col("incoming_id").alias("seq"), "batch_no").join(_mixtures(parts, "incoming_id").withColumnRenamed("incoming_id", "seq"), "seq")
-    return arrivals.in_batches(mixed, "batch_no", index).select(F.lit("substance").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
+    out = arrivals.in_batches(mixed, "batch_no", index)
+    index.close(delete=True)
+    return out.select(F.lit("substance").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +133,41 @@ SQL = {
         SELECT sub_a, sub_b, CASE WHEN pa THEN 'P' ELSE 'R' END || CASE WHEN pb THEN 'P' ELSE 'R' END AS roles
         FROM p JOIN c ca ON ca.substance = sub_a AND ca.is_product = pa JOIN c cb ON cb.substance = sub_b AND cb.is_product = pb
         WHERE n_ab * (SELECT count(DISTINCT id) FROM reaction) >= 10 * ca.n * cb.n""",
+    "p4_found": """
+        WITH RECURSIVE
+          s AS (SELECT *, row_number() OVER (ORDER BY batch_no NULLS LAST, id) AS i FROM (
+                  SELECT DISTINCT incoming_id AS id, batch_no, signature AS sig, list_sort(list_distinct(fingerprint)) AS f FROM incoming_structure)),
+          k AS (SELECT DISTINCT list_sort(list_distinct(fingerprint)) AS f FROM molecule_structure WHERE len(list_distinct(fingerprint)) > 0),
+          kn AS (SELECT row_number() OVER () AS k, f FROM k), kb AS (SELECT k, len(f) AS m, unnest(f) AS bit FROM kn),
+          sb AS (SELECT i, len(f) AS n, unnest(f) AS bit FROM s),
+          s_near AS (SELECT DISTINCT i FROM (SELECT i FROM sb JOIN kb USING (bit) GROUP BY i, k, n, m HAVING count(*) * 10 >= 9 * (n + m - count(*)))),
+          s_exact AS (SELECT DISTINCT i FROM s JOIN molecule_structure t ON t.signature = s.sig),
+          s_link AS (SELECT a.i, b.i AS j FROM sb a JOIN sb b ON a.bit = b.bit AND b.i < a.i GROUP BY a.i, b.i, a.n, b.n HAVING count(*) * 10 >= 9 * (a.n + b.n - count(*))
+                     UNION SELECT a.i, b.i FROM s a JOIN s b ON a.sig = b.sig AND b.i < a.i),
+          s_all AS (SELECT i, i IN (FROM s_near) OR i IN (FROM s_exact) AS known, coalesce((SELECT list(j) FROM s_link l WHERE l.i = s.i), []) AS js FROM s),
+          s_run AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc UNION ALL
+                    SELECT a.i, CASE WHEN a.known OR list_has_any(a.js, r.acc) THEN r.acc ELSE list_append(r.acc, a.i) END FROM s_run r JOIN s_all a ON a.i = r.i + 1),
+          s_acc AS (SELECT unnest(acc) AS i FROM (SELECT acc FROM s_run ORDER BY i DESC LIMIT 1)),
+          sm AS (SELECT DISTINCT id, substance, coalesce('m' || molecule, 'n' || non_organic, '?') AS c, molar_fraction AS x FROM substance_structure),
+          known AS (SELECT DISTINCT list(c ORDER BY c) AS cs, list(x ORDER BY c) AS xs FROM (SELECT substance, c, min(x) AS x FROM sm GROUP BY ALL) GROUP BY substance),
+          ms AS (SELECT signature, min(molecule) AS molecule FROM molecule_structure GROUP BY signature), no AS (SELECT signature, min(id) AS id FROM non_organic GROUP BY signature),
+          ic AS (SELECT incoming_id AS id, batch_no, unnest(components) AS c FROM (SELECT DISTINCT incoming_id, batch_no, components FROM incoming_substance)),
+          im AS (SELECT ic.id, batch_no, coalesce('m' || molecule, 'n' || no.id, 's' || hex(ic.c.signature), '?') AS c, min(ic.c.molar_fraction) AS x
+                 FROM ic LEFT JOIN ms ON ms.signature = ic.c.signature LEFT JOIN no ON no.signature = ic.c.signature GROUP BY ALL),
+          m AS (SELECT *, row_number() OVER (ORDER BY batch_no NULLS LAST, id) AS i FROM (SELECT id, batch_no, list(c ORDER BY c) AS cs, list(x ORDER BY c) AS xs FROM im GROUP BY ALL)),
+          m_known AS (SELECT i, bool_or(m.xs = k.xs) AS same FROM m JOIN known k ON k.cs = m.cs
+                      WHERE len(list_filter(list_zip(m.xs, k.xs), lambda z: NOT coalesce(abs(z[1] - z[2]) < 0.045, z[1] IS NULL AND z[2] IS NULL))) = 0 GROUP BY i),
+          m_link AS (SELECT a.i, b.i AS j, a.xs = b.xs AS same FROM m a JOIN m b ON a.cs = b.cs AND b.i < a.i
+                     WHERE len(list_filter(list_zip(a.xs, b.xs), lambda z: NOT coalesce(abs(z[1] - z[2]) < 0.045, z[1] IS NULL AND z[2] IS NULL))) = 0),
+          m_all AS (SELECT i, i IN (SELECT i FROM m_known) AS known, coalesce((SELECT list(j) FROM m_link l WHERE l.i = m.i), []) AS js FROM m),
+          m_run AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc UNION ALL
+                    SELECT a.i, CASE WHEN a.known OR list_has_any(a.js, r.acc) THEN r.acc ELSE list_append(r.acc, a.i) END FROM m_run r JOIN m_all a ON a.i = r.i + 1),
+          m_acc AS (SELECT unnest(acc) AS i FROM (SELECT acc FROM m_run ORDER BY i DESC LIMIT 1))
+        SELECT 'structure' AS item, id AS incoming_id, CASE WHEN i IN (FROM s_exact) OR EXISTS (SELECT 1 FROM s b JOIN s_acc USING (i) WHERE b.sig = s.sig AND b.i < s.i) THEN 'exact' ELSE 'near' END AS verdict
+        FROM s WHERE i NOT IN (FROM s_acc)
+        UNION ALL
+        SELECT 'substance', id, CASE WHEN i IN (SELECT i FROM m_known WHERE same) OR EXISTS (SELECT 1 FROM m_link l JOIN m_acc c ON c.i = l.j WHERE l.i = m.i AND same) THEN 'exact' ELSE 'near' END
+        FROM m WHERE i NOT IN (FROM m_acc)""",
     "p6_terms": (
         _P6 := """
         WITH r AS (SELECT DISTINCT 'molecule_structure' AS tab, id, fingerprint FROM molecule_structure

@@ -40,7 +40,7 @@ def test_sets_against_brute_force(spark, pivots):
     arrivals = [(i, rng.choice([1, 2, 3, None]), bytes([rng.randrange(120)]) if rng.random() < 0.8 else None, variant() if rng.random() < 0.9 else rng.choice([None, []])) for i in range(90)]
     arrivals += [(1000 + i, 2, b"hot", families[0]) for i in range(30)]
     stored = spark.createDataFrame(known * 2, "exact_key binary, items array<bigint>")
-    index = SetIndex(spark, stored, t, pivots=pivots)
+    index = SetIndex.build(spark, stored, t, pivots=pivots)
     rows = spark.createDataFrame(arrivals, "seq long, batch int, exact_key binary, items array<bigint>")
     got = in_batches(rows, "batch", index).collect()
     assert len(got) == len({r.seq for r in got})
@@ -49,9 +49,10 @@ def test_sets_against_brute_force(spark, pivots):
 
 def test_empty_store_and_empty_batch(spark):
     empty = spark.createDataFrame([], "exact_key binary, items array<bigint>")
-    index = SetIndex(spark, empty, Threshold(9, 10, False))
+    index = SetIndex.build(spark, empty, Threshold(9, 10, False))
     none = spark.createDataFrame([], "seq long, batch int, exact_key binary, items array<bigint>")
     assert spark.read.parquet(index.check(none)).count() == 0
+    index = SetIndex.open(spark, index.folder)
     rows = spark.createDataFrame([(1, b"a", [1, 2]), (2, None, [1, 2]), (3, b"a", None), (4, None, None), (5, None, [])], "seq long, exact_key binary, items array<bigint>")
     assert {(r.seq, r.verdict) for r in in_batches(rows.withColumn("batch", F.lit(1)), "batch", index).collect()} == {(2, "near"), (3, "exact")}
     assert in_batches(rows.withColumn("batch", F.lit(1)).where("false"), "batch", index).count() == 0
@@ -63,7 +64,7 @@ def test_mixtures_against_brute_force(spark):
     mixture = lambda: (m := rng.choice(["a", "a;b", "b;c;d"]), [fraction() for _ in m.split(";")])
     known = [mixture() for _ in range(30)]
     arrivals = [(i, rng.choice([1, 2]), *mixture()) for i in range(150)] + [(900, 1, "", []), (901, 1, None, None)]
-    index = MixtureIndex(spark, spark.createDataFrame(known, "mixture string, fractions array<double>"), 0.045)
+    index = MixtureIndex.build(spark, spark.createDataFrame(known, "mixture string, fractions array<double>"), 0.045)
     got = {r.seq: r.verdict for r in in_batches(spark.createDataFrame(arrivals, "seq long, batch int, mixture string, fractions array<double>"), "batch", index).collect()}
     near = lambda x, y: all((a is None and b is None) or (a is not None and b is not None and abs(a - b) < 0.045) for a, b in zip(x, y, strict=True))
     want, held = {}, list(known)
@@ -82,6 +83,6 @@ def test_mixtures_against_brute_force(spark):
 
 def test_chain_is_settled_in_order(spark):
     n = 6  # each is near the one before it only: every second one is accepted
-    batch = spark.createDataFrame([(i, False, [f"k{i}"]) for i in range(n)], "seq long, refused boolean, own array<string>")
-    looks = spark.createDataFrame([(i, f"k{j}") for i in range(n) for j in (i - 1, i, i + 1)], "seq long, key string")
-    assert {r.seq: r.accepted for r in settle(batch, looks).collect()} == {i: i % 2 == 0 for i in range(n)}
+    rows = [(i, False, [f"k{i}"], [f"k{j}" for j in (i - 1, i, i + 1)]) for i in range(n)]
+    batch = spark.createDataFrame(rows, "seq long, refused boolean, own array<string>, looks array<string>")
+    assert {r.seq: r.accepted for r in settle(batch)[0].collect()} == {i: i % 2 == 0 for i in range(n)}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from bitsieve.llm.pivots import Bounds, Overlaps, Threshold, bucket_range, nearest, packed, size_bucket, unpacked
+from bitsieve.llm.pivots import SLOTS, Bounds, Overlaps, Threshold, bucket_range, nearest, size_bucket
 from bitsieve.llm.set_pairs import similar_pairs
 
 
@@ -74,14 +74,13 @@ def test_pivot_bounds_never_lose_a_partner():
         bounds = Bounds(len(o.sizes), [(*k, *v) for k, v in stats.items()], t, smaller_only=smaller)
         for y, v in zip(sets, shared, strict=True):
             cells = set(bounds.cells(v, len(y)))
+            slots = set(bounds.slot[bounds.rows_for(v, len(y))])
             for x, h in zip(sets, home, strict=True):
                 if (not smaller or len(x) <= len(y)) and t.passes(len(np.intersect1d(x, y)), len(x), len(y)):
-                    assert h in cells
+                    assert h in cells and h * SLOTS + int(size_bucket(len(x))) in slots
 
 
-def test_buckets_and_packing():
+def test_buckets():
     for n in [*range(1, 2000), 10**6]:
         low, high = bucket_range(int(size_bucket(n)))
         assert low <= n <= high
-    for s in ([], [0, 65535], [-1, 5], [1 << 40]):
-        assert unpacked(packed(np.array(s, np.int64))).tolist() == s
