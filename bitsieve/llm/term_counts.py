@@ -3,21 +3,25 @@
 Suffix-sorted n-gram counting: every position of a record's term sequence gives
 one suffix, cut to ``max_n`` terms; suffixes are routed by their first term, sorted in
 reverse lexicographic order, and a stack of at most ``max_n`` open prefixes adds up the
-counts of all prefixes in one pass over the sorted run.
+counts of all prefixes in one pass over the sorted run. The same for single terms (``max_n`` of 1) as for longer ones.
 
 Two counts have to come out for each prefix: occurrences, and distinct records. For
 the second, each suffix carries the shortest of its prefixes that its record hasn't shown
 at an earlier position (``new_from``; all longer prefixes are new as well). Both counts then
-just add up, so equal suffixes are folded map-side before the shuffle: a term that
-every record holds sends one row per input partition and ``new_from``. A frequent
+just add up, so equal suffixes of an Arrow batch are folded before the shuffle: a term that
+every record holds sends one row per batch and ``new_from``. A frequent
 first term with very many continuations is routed by its first two terms; its own
 row is summed over the routes at the end.
+
+Within a batch all of this is array work: the stack closes a prefix where the next suffix differs within its length, so
+the boundaries of each length are found at once, and only the prefixes open at the end of a batch are carried over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,108 +33,101 @@ def record_terms(df: DataFrame, record: str, terms: str) -> DataFrame:
     Rows of one record that differ are one record with the sequences joined;
     null records are no records; null terms are left out.
     """
-    rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("__record"), F.col(terms).alias("__terms")).distinct()
-    return rows.groupBy("__record").agg(F.flatten(F.array_sort(F.collect_list("__terms"))).alias("__terms")).withColumn(
+    rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("__record"), F.col(terms).alias("__terms"))
+    return rows.groupBy("__record").agg(F.flatten(F.array_sort(F.collect_set("__terms"))).alias("__terms")).withColumn(
         "__terms", F.filter("__terms", lambda t: t.isNotNull())
     )
 
 
-def _suffixes(records: DataFrame, max_n: int) -> DataFrame:
-    """``suffix, new_from, occurrences`` folded over equal suffixes."""
-    if max_n == 1:
-        # Of a record's equal terms the first is new (1), the others aren't (2).
-        order = F.array_sort("__terms")
-        marked = F.transform(order, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get(order, i - 1) == t), 2).otherwise(1).alias("new_from")))
-        one = records.select(F.explode(marked).alias("m")).select("m.term", "m.new_from")
-        return one.groupBy("term", "new_from").agg(F.count(F.lit(1)).alias("occurrences")).select(F.array("term").alias("suffix"), "new_from", "occurrences")
-    term = records.schema["__terms"].dataType.elementType.simpleString()
-    cut = records.select("__terms").mapInArrow(_cut(max_n), f"suffix array<{term}>, new_from int, occurrences long")
-    return cut.groupBy("suffix", "new_from").agg(F.sum("occurrences").alias("occurrences"))
+#: Positions of a batch that are cut at a time, or one record's.
+POSITIONS = 1 << 20
 
 
-def _cut(max_n: int):
-    """Cuts records into suffixes; equal ones of a task are folded in a bounded table."""
+def _lists(values: pa.Array, codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Lists of terms from rows of codes of which the first ``lengths`` count."""
+    use = np.arange(codes.shape[1])[None, :] < lengths[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), values.take(pa.array(codes[use])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded: dict[tuple, int] = {}
 
-        def flush(kind: pa.DataType) -> pa.RecordBatch:
-            keys = list(folded)
-            arrays = [pa.array([list(k[0]) for k in keys], kind), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(folded.values()), pa.int64())]
-            folded.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["suffix", "new_from", "occurrences"])
+def _cut(max_n: int):
+    """Cuts records into suffixes; equal ones are folded."""
 
-        kind = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.column("__terms").type
-            for terms in batch.column("__terms").to_pylist():
-                shown: set[tuple] = set()
-                for i in range(len(terms or ())):
-                    suffix = tuple(terms[i : i + max_n])
-                    new_from = len(suffix) + 1
-                    while new_from > 1 and suffix[: new_from - 1] not in shown:
-                        new_from -= 1
-                    shown.update(suffix[:n] for n in range(new_from, len(suffix) + 1))
-                    folded[suffix, new_from] = folded.get((suffix, new_from), 0) + 1
-                if len(folded) > 200_000:
-                    yield flush(kind)
-        if folded:
-            yield flush(kind)
+            ends = batch.column("__terms").offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + POSITIONS, side="right")) - 1)
+                part = batch.column("__terms").slice(at, to - at)
+                at = to
+                if len(part.flatten()):
+                    yield cut(part)
+
+    def cut(lists: pa.ListArray) -> pa.RecordBatch:
+        terms = lists.flatten().dictionary_encode()
+        code = terms.indices.to_numpy().astype(np.int64)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        record = np.repeat(np.arange(len(lists)), np.diff(ends))
+        left = (ends - ends[0])[record + 1] - np.arange(len(code))  # terms from here to the record's end
+        rows = np.full((len(code), max_n), -1, np.int64)
+        new_from = np.full(len(code), max_n + 1)
+        name = np.zeros(len(code), np.int64)  # of the prefix
+        for n in range(1, max_n + 1):
+            here = left >= n
+            rows[here, n - 1] = code[np.flatnonzero(here) + n - 1]
+            name = np.unique(name * (len(terms.dictionary) + 1) + rows[:, n - 1] + 1, return_inverse=True)[1]
+            first = np.unique(record * (name.max() + 1) + name, return_index=True)[1]
+            fresh = np.zeros(len(code), bool)
+            fresh[first] = True
+            new_from[fresh & here & (new_from > n)] = n
+        length = np.minimum(left, max_n)
+        new_from = np.minimum(new_from, length + 1)
+        _, first, count = np.unique(name * (max_n + 2) + new_from, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [_lists(terms.dictionary, rows[first], length[first]), pa.array(new_from[first], pa.int32()), pa.array(count, pa.int64())], ["suffix", "new_from", "occurrences"]
+        )
 
     return run
 
 
 def _stack(max_n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list = []
-        cf: list[int] = []
-        df: list[int] = []
-        stack: list = []  # open prefix
-        occurrences: list[int] = []  # by length of the prefix
-        records: list[int] = []
-
-        def close(to: int) -> None:
-            while len(stack) > to:
-                grams.append(list(stack))
-                cf.append(occurrences[-1])
-                df.append(records[-1])
-                stack.pop()
-                n, r = occurrences.pop(), records.pop()
-                if stack:
-                    occurrences[-1] += n
-                    records[-1] += r
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(grams, kind), pa.array(cf, pa.int64()), pa.array(df, pa.int64())], ["gram", "occurrences", "records"]
-            )
-            grams.clear(), cf.clear(), df.clear()
-            return out
-
+        open_: dict[int, list] = {}  # by length: the prefix, its occurrences and records so far
         kind = None
         for batch in batches:
-            kind = batch.column("suffix").type
-            for suffix, new_from, count in zip(batch.column("suffix").to_pylist(), batch.column("new_from").to_pylist(), batch.column("occurrences").to_pylist(), strict=True):
-                same = 0
-                while same < len(stack) and same < len(suffix) and stack[same] == suffix[same]:
-                    same += 1
-                close(same)
-                for term in suffix[same:]:
-                    stack.append(term)
-                    occurrences.append(0)
-                    records.append(0)
-                occurrences[len(suffix) - 1] += count
-                # New prefixes of this suffix: lengths new_from..len(suffix). The stack passes
-                # a count on to every shorter prefix, so what isn't new is taken off there.
-                if new_from <= len(suffix):
-                    records[len(suffix) - 1] += count
-                    if new_from > 1:
-                        records[new_from - 2] -= count
-            if len(grams) > 50_000:
-                yield flush()
-        close(0)
-        if kind is not None and grams:
-            yield flush()
+            lists = batch.column("suffix")
+            kind = lists.type
+            if not batch.num_rows:
+                continue
+            terms = lists.flatten().dictionary_encode()
+            lengths = np.diff(lists.offsets.to_numpy())
+            rows = np.full((len(lengths), max_n), -1, np.int64)
+            rows[np.arange(max_n)[None, :] < lengths[:, None]] = terms.indices.to_numpy()
+            new_from, count = batch.column("new_from").to_numpy(), batch.column("occurrences").to_numpy()
+            for n in range(1, max_n + 1):
+                use = np.flatnonzero(lengths >= n)
+                if not len(use):
+                    continue
+                prefix = rows[use, :n]
+                starts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]).any(axis=1)])
+                n_all = np.add.reduceat(count[use], starts)
+                n_new = np.add.reduceat(np.where(new_from[use] <= n, count[use], 0), starts)
+                grams = _lists(terms.dictionary, prefix[starts], np.full(len(starts), n))
+                if n in open_:
+                    gram, c, r = open_.pop(n)
+                    if grams[0].as_py() == gram:
+                        n_all[0] += c
+                        n_new[0] += r
+                    else:
+                        yield closed([gram], [c], [r], kind)
+                open_[n] = [grams[-1].as_py(), int(n_all[-1]), int(n_new[-1])]
+                yield closed(grams[:-1], n_all[:-1], n_new[:-1], kind)
+        for gram, c, r in open_.values():
+            yield closed([gram], [c], [r], kind)
+
+    def closed(grams, n_all, n_new, kind: pa.DataType) -> pa.RecordBatch:
+        grams = grams if isinstance(grams, pa.Array) else pa.array(grams, kind)
+        return pa.RecordBatch.from_arrays([grams.cast(kind), pa.array(n_all, pa.int64()), pa.array(n_new, pa.int64())], ["gram", "occurrences", "records"])
 
     return run
 
@@ -142,8 +139,8 @@ def ngram_counts(records: DataFrame, max_n: int = 1, *, routes: int | None = Non
     empty sequences hold nothing; an empty table gives no rows; a record however long is
     cut into suffixes of ``max_n`` terms at most, none is dropped.
     """
-    suffixes = _suffixes(records, max_n)
     term = records.schema["__terms"].dataType.elementType.simpleString()
+    suffixes = records.select("__terms").mapInArrow(_cut(max_n), f"suffix array<{term}>, new_from int, occurrences long")
     route = [F.get("suffix", F.lit(0))] + ([F.xxhash64(F.get("suffix", F.lit(1))) % 16] if max_n > 1 else [])
     keyed = suffixes.repartition(*([routes] if routes else []), *route).sortWithinPartitions(F.desc("suffix"))
     counted = keyed.mapInArrow(_stack(max_n), f"gram array<{term}>, occurrences long, records long")
