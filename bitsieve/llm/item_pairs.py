@@ -83,12 +83,14 @@ def item_pairs(
     ``n_ab >= min_count`` and ``n_ab * n >= min_lift * n_a * n_b``. Empty tables give no rows.
     """
     spark: SparkSession = rows.sparkSession
-    base = rows.select("basket", "item").where("basket is not null and item is not null").distinct()
+    # Both are written once: what follows reads the items again, never the baskets.
+    base = stored(rows.select("basket", "item").where("basket is not null and item is not null").distinct(), "baskets")
     counts = base.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     total = n_baskets.select(F.col("n").cast("long").alias("__n"))
     able = counts.where(F.col("n_item") >= min_count)
     if min_lift > 0:
         able = able.crossJoin(F.broadcast(total)).where(F.col("n_item") * F.lit(min_lift) <= F.col("__n")).drop("__n")
+    able = stored(able, "able")
     # Heavy items: at most max_heavy (a bound that holds for every input) reach the driver.
     heavy = able.where(F.col("n_item") > heavy_above).orderBy(F.desc("n_item"), "item").limit(max_heavy).collect()
     n_heavy = len(heavy)
