@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitsieve.sources.tables import stored
+
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
     """Identical rows once. The shuffle hashes the whole row, so no key can heat a partition."""
@@ -42,8 +44,9 @@ def heavy_keys(per_key_rows: DataFrame, keys: list[str], share: float) -> DataFr
     """Rows of :func:`per_key` whose key holds at least ``share`` of all rows.
 
     Rows with a null key count in the total but their group is never returned.
-    The total is one number from the per-key counts, not another pass over the data.
+    The per-key states are written once, so that the total is one number from them, not another pass over the data.
     """
+    per_key_rows = stored(per_key_rows, "per-key")
     total = per_key_rows.agg(F.sum("n_rows").alias("__total"))
     out = per_key_rows.crossJoin(F.broadcast(total)).where(F.col("n_rows") >= F.lit(share) * F.col("__total"))
     for key in keys:
