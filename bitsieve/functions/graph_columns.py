@@ -64,6 +64,18 @@ def _bits(g: G.Graph, config: FingerprintConfig) -> list[int]:
     return G.fingerprint(g, min_radius=config.min_radius, max_radius=config.max_radius, length=config.length, active_bits=config.number_active_bits, bit_pairs=config.number_bit_pairs)
 
 
+_COMPONENT = PARSED["components"].dataType.elementType
+REACTION = (
+    T.StructType().add("error", "string").add("centre", "string").add("cgrsmiles", "string").add("fingerprint", T.ArrayType(T.IntegerType())).add("structure", CONDENSED)
+    .add("components", T.ArrayType(T.StructType(_COMPONENT.fields).add("is_product", "boolean")))
+)
+
+
+def _component(g: G.Graph, config: FingerprintConfig) -> dict:
+    name, order = G.canonical_smiles(g)
+    return {"signature": G.text_signature(name), "smiles": name, "fingerprint": _bits(g, config), "organic": G.is_organic(g), "structure": to_row(g), "fast_mapping": order}
+
+
 def parsed(smiles: str | Column, config: FingerprintConfig = FingerprintConfig()) -> Column:
     """``error`` or the components of a molecule with their signature, text, fingerprint and class."""
 
@@ -73,12 +85,11 @@ def parsed(smiles: str | Column, config: FingerprintConfig = FingerprintConfig()
         for text in s:
             try:
                 parts = []
-                for g in G.components(G.read_smiles(text or "")):
-                    name, order = G.canonical_smiles(g)
-                    parts.append({
-                        "signature": G.signature(g), "smiles": name, "fingerprint": _bits(g, config),
-                        "organic": G.is_organic(g), "structure": to_row(g), "fast_mapping": order,
-                    })
+                whole, stereo = G.read_stereo(text or "")
+                for g in G.components(whole):
+                    marks = G.stereo_text(g, stereo) if stereo.turns or stereo.slants else ""
+                    part = _component(G.normal(g), config)
+                    parts.append(part | {"signature": G.text_signature(part["smiles"], marks)} if marks else part)
                 rows.append((None, parts))
             except G.GraphError as e:
                 rows.append((str(e), None))
@@ -87,6 +98,45 @@ def parsed(smiles: str | Column, config: FingerprintConfig = FingerprintConfig()
     return parse(F.col(smiles) if isinstance(smiles, str) else smiles)
 
 
+def parsed_reaction(text: str, config: FingerprintConfig = FingerprintConfig()) -> Column:
+    """``error``, or the centre, the condensed graph and the components of a reaction with their roles.
+
+    Atoms keep the map numbers of the line; those without one are numbered apart, so that sides only share mapped atoms.
+    """
+
+    def read(line: str) -> dict:
+        left, right = ([G.normal(g) for g in G.apart(side)] for side in G.read_reaction(line or ""))
+        cgr = G.condensed(G.united(left), G.united([G.renumbered(g, {a.n: a.n + (10**6 if a.n > 10**5 else 0) for a in g.atoms}) for g in right])) if left and right else None
+        parts = [_component(g, config) | {"is_product": side} for side, graphs in ((False, left), (True, right)) for g in graphs]
+        out = {"error": None, "centre": G.centre(cgr), "components": parts, "cgrsmiles": None, "fingerprint": None, "structure": None}
+        if cgr:
+            bonds = [dict(zip(("a", "b", "order_before", "order_after"), k, strict=True)) for k in cgr.bonds]
+            out |= {"cgrsmiles": G.canonical_smiles(cgr)[0], "fingerprint": _bits(cgr, config), "structure": {"atoms": [a._asdict() for a in cgr.atoms], "bonds": bonds}}
+        return out
+
+    @F.pandas_udf(REACTION)
+    def parse(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for line in s:
+            try:
+                rows.append(read(line))
+            except G.GraphError as e:
+                rows.append(dict.fromkeys(REACTION.names) | {"error": str(e)})
+        return pd.DataFrame(rows, columns=REACTION.names)
+
+    return parse(F.col(text))
+
+
+def centre_fingerprint(structure: str, config: FingerprintConfig = FingerprintConfig(max_radius=4)) -> Column:
+    """Bits of the fragments of a condensed graph's reaction centre, of 1 to 4 atoms; null without a centre."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def bits(s: pd.DataFrame) -> pd.Series:
+        return pd.Series([_bits(g, config) if (g := G.centre_graph(from_row(x))) else None for x in _rows(s)], dtype=object)
+
+    return bits(F.col(structure))
+
+
 def graph_fingerprint(structure: str, config: FingerprintConfig = FingerprintConfig()) -> Column:
     """Sorted bits of the linear fragments of a stored graph."""
 
@@ -137,6 +187,27 @@ def united_graph(parts: str) -> Column:
     return unite(F.col(parts))
 
 
+def sides(substances: str) -> Column:
+    """The two sides of a reaction as graphs: an array of ``struct<is_product, mapping, parts>``, parts being ``struct<structure, mapping>``,
+    renumbered part by part and substance by substance, then united by role. Structures that are missing are left out."""
+    kind = T.StructType().add("reactants", GRAPH).add("products", GRAPH)
+    numbers = lambda m: {int(k["from"]): int(k["to"]) for k in (m if m is not None else ())}
+
+    @F.pandas_udf(kind)
+    def by_role(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows in s:
+            graphs: dict[bool, list[G.Graph]] = {False: [], True: []}
+            for r in rows if rows is not None else ():
+                parts = [(from_row(p["structure"]), p["mapping"]) for p in (r["parts"] if r["parts"] is not None else ())]
+                whole = G.united([G.renumbered(g, numbers(m)) for g, m in parts if g])
+                graphs[bool(r["is_product"])].append(G.renumbered(whole, numbers(r["mapping"])))
+            out.append([to_row(G.united(graphs[k])) for k in (False, True)])
+        return pd.DataFrame(out, columns=["reactants", "products"])
+
+    return by_role(F.col(substances))
+
+
 def condensed_graph(reactants: str, products: str) -> Column:
     """Both sides laid over each other; null atoms where that can't be done."""
 

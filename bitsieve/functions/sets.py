@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Modulus of the permutations; products of two numbers below it fit a long.
 PRIME = (1 << 31) - 1
@@ -45,9 +49,26 @@ def coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
 
 
 def minhash(bits: str, n: int = 64, seed: int = 42) -> Column:
-    """Least image of the set under each of n permutations."""
-    pairs = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in coefficients(n, seed)))
-    return F.transform(pairs, lambda p: F.array_min(F.transform(bits, lambda x: F.pmod(p.a * F.pmod(x.cast("long"), F.lit(PRIME)) + p.b, F.lit(PRIME)))))
+    """Least image of the set under each of n permutations, in Arrow batches; null for a null or empty set."""
+    a, b = (np.array(c, np.int64)[:, None] for c in zip(*coefficients(n, seed), strict=True))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def least(sets: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.list_flatten(sets).to_numpy(zero_copy_only=False).astype(np.int64) % PRIME
+        full = np.flatnonzero(sizes)
+        ends = np.r_[0, np.cumsum(sizes[full])]
+        out = np.empty((len(full), n), np.int64)
+        step = 0
+        while step < len(full):  # some hundred thousand images at a time, or one set's
+            to = max(step + 1, int(np.searchsorted(ends, ends[step] + 8192, side="right")) - 1)
+            images = (a * values[ends[step] : ends[to]] + b) % PRIME
+            out[step:to] = np.minimum.reduceat(images, ends[step:to] - ends[step], axis=1).T
+            step = to
+        offsets = pa.array(np.r_[0, np.cumsum(np.where(sizes > 0, n, 0))].astype(np.int32), mask=np.r_[sizes == 0, False])
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return least(F.col(bits))
 
 
 def band_keys(signature: str | Column, bands: int, rows: int) -> Column:

@@ -71,12 +71,33 @@ def same_centre(found: DataFrame, reactions: DataFrame) -> DataFrame:
     return found.join(q, "query").join(r, ["reaction", "__c"]).drop("__c")
 
 
-def composed(roles: DataFrame, parts: DataFrame) -> DataFrame:
-    """``reaction, key``: the condensed graph of each reaction's own molecules as text, null where it can't be composed.
+def unsearchable(asked: DataFrame, parts: DataFrame, searchable: DataFrame) -> DataFrame:
+    """Queries none of whose components can be searched: reactions without a ``molecule`` in ``searchable``. A search for one of them is an error."""
+    return asked.select("query").distinct().join(parts.join(searchable.distinct(), "molecule", "left_semi"), "query", "left_anti")
+
+
+def require_searchable(asked: DataFrame, parts: DataFrame, searchable: DataFrame) -> None:
+    """ValueError, with up to ten of them, if a query has no searchable component."""
+    bad = [r["query"] for r in unsearchable(asked, parts, searchable).orderBy("query").limit(10).collect()]
+    if bad:
+        raise ValueError(f"no searchable component in reactions {bad}")
+
+
+def of_sources(sources: DataFrame, links: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Records with the sources that a link table (``source`` and ``key``) gives them, once per link."""
+    return links.distinct().join(sources.withColumnRenamed("id", "source"), "source").join(records, key)
+
+
+def by_role(roles: DataFrame, parts: DataFrame) -> DataFrame:
+    """``reaction, substances``: an array of ``struct<id, is_product, mapping, parts>`` in the order of ids.
 
     ``roles`` has ``id, reaction, substance, is_product, mapping``; ``parts`` ``id, substance, structure, mapping``.
     """
     uses = roles.where("is_product is not null")
     own = parts.groupBy("substance").agg(F.array_sort(F.collect_list(F.struct("id", "structure", "mapping"))).alias("parts"))
-    sides = uses.join(own, "substance", "left").groupBy("reaction").agg(F.array_sort(F.collect_list(F.struct("id", "is_product", "mapping", "parts"))).alias("substances"))
-    return sides.select("reaction", reaction_key("substances").alias("key"))
+    return uses.join(own, "substance", "left").groupBy("reaction").agg(F.array_sort(F.collect_list(F.struct("id", "is_product", "mapping", "parts"))).alias("substances"))
+
+
+def composed(roles: DataFrame, parts: DataFrame) -> DataFrame:
+    """``reaction, key``: the condensed graph of each reaction's own molecules as text, null where it can't be composed; of :func:`by_role`."""
+    return by_role(roles, parts).select("reaction", reaction_key("substances").alias("key"))

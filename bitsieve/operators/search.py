@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitsieve.config import LshConfig, score_limit
-from bitsieve.functions.sets import band_keys, minhash, shared, tanimoto
+from bitsieve.functions.sets import band_keys, minhash, tanimoto
 
 #: Sets and queries that meet at a time in ``top_each``.
 STORE_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -23,12 +23,16 @@ def lsh_index(records: DataFrame, key: str, config: LshConfig) -> DataFrame:
     return keyed.select(F.posexplode("keys").alias("band", "key"), "structure_id")
 
 
-def lsh_candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
+def lsh_candidates(queries: DataFrame, index: DataFrame, *, sizes: tuple[DataFrame, DataFrame] | None = None, limit: float = 0.0) -> DataFrame:
     """``query, structure_id`` of every two records that share a band key, once.
 
-    ``queries`` has ``query, band, key``. Hot keys are joined in parts by the planner's skew handling.
+    ``queries`` has ``query, band, key``. Hot keys are joined in parts by the planner's skew handling. With ``sizes`` (``query, n`` and ``structure_id, m``) and a
+    ``limit``, pairs whose lengths can't pass it are left out before they are made distinct.
     """
-    return queries.join(index, ["band", "key"]).select("query", "structure_id").distinct()
+    if sizes is None:
+        return queries.join(index, ["band", "key"]).select("query", "structure_id").distinct()
+    fits = (F.col("m") > F.col("n") * limit - 1e-9) & (F.col("n") > F.col("m") * limit - 1e-9)
+    return queries.join(sizes[0], "query").join(index.join(sizes[1], "structure_id"), ["band", "key"]).where(fits).select("query", "structure_id").distinct()
 
 
 def scored(pairs: DataFrame, queries: DataFrame, store: DataFrame, key: str, limit: float | None) -> DataFrame:
@@ -79,11 +83,24 @@ def containing(queries: DataFrame, store: DataFrame, key: str, *, prefilter: boo
     return met.withColumn("t", F.round(n / m, 9)).drop("__q", "fp", "bit")
 
 
-def contained_counts(queries: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """``query, key, hits``: bits of the query found in each stored set that has all of them, by the full inverted index."""
-    q = queries.select("query", F.size("fp").alias("n"), F.explode("fp").alias("bit"))
-    hits = q.join(store.select(key, F.explode("fp").alias("bit")), "bit").groupBy("query", "n", key).agg(F.count(F.lit(1)).alias("hits"))
-    return hits.where("hits = n").select("query", key, "hits")
+def inverted(store: DataFrame, key: str) -> DataFrame:
+    """``bit, key, n``: the postings of a store, with the length of each set."""
+    return store.select(key, F.size("fp").alias("n"), F.explode("fp").alias("bit"))
+
+
+def contained_counts(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """``query, key, hits``: bits of the query found in each stored set that has all of them, from the postings only.
+
+    A query's bits are taken rarest first. Sets are met in the posting of its rarest bit; these are counted against the postings
+    of the others, so no common bit's posting is joined with every query that has it.
+    """
+    df = postings.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
+    bits = queries.select("query", F.size("fp").alias("need"), F.explode("fp").alias("bit")).join(df, "bit", "left")
+    first = Window.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "bit")
+    bits = bits.withColumn("at", F.row_number().over(first))
+    met = bits.where("at = 1").select("query", "need", "bit").join(postings, "bit").where("n >= need").select("query", "need", key)
+    found = met.join(bits.select("query", "bit"), "query").join(postings.select("bit", key), ["bit", key])
+    return found.groupBy("query", "need", key).agg(F.count(F.lit(1)).alias("hits")).where("hits = need").select("query", key, "hits")
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -146,7 +163,3 @@ def top_each(queries: DataFrame, store: DataFrame, key: str, k: int) -> DataFram
     met = left.groupBy("__sb", "__qb").cogroup(right.groupBy("__sb", "__qb")).applyInPandas(best, "query long, __key long, __m long, __b long")
     met = first_of(met, ["query"], [F.desc("__b"), F.col("__m"), F.col("__key")], k)
     return met.select("query", F.col("__key").alias(key), F.nullif("__m", none).alias("molecule"), (F.col("__b") / F.lit(1e9)).alias("t"))
-
-
-def shared_bits(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.withColumn("shared", shared(a, b))

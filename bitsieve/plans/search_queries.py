@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.config import EngineConfig, LshConfig
-from bitsieve.functions.graph_columns import canonical_text, centre_text, condensed_graph, contains_graph, graph_fingerprint, united_graph
+from bitsieve.config import EngineConfig, score_limit
+from bitsieve.functions.graph_columns import canonical_text, centre_fingerprint, centre_text, condensed_graph, contains_graph, graph_fingerprint, sides, united_graph
+from bitsieve.functions.graphs import ORGANIC
 from bitsieve.functions.sets import PRIME, band_keys, bit_set, coefficients, contains_all, length_window, minhash
-from bitsieve.operators import bad_rows, ingest, reactions, search
+from bitsieve.operators import bad_rows, ingest, load, reactions, search
 from bitsieve.sources.store import Store
 from bitsieve.sources.tables import stored, table
 
-LIMIT = 0.7
-LSH = LshConfig()
-FINGERPRINT = EngineConfig().fingerprint
+#: Settings where a folder has none of its own: what the SQL twins are written for.
+CONFIG = EngineConfig()
+LSH = CONFIG.molecules
 EVERY = 100
 ROLES = {"": None, "_product": True, "_reactant": False}
 
@@ -31,17 +33,19 @@ def _queries(store: DataFrame, key: str) -> DataFrame:
 def fp_build(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of the stored graphs by the engine's own fragmenter."""
     rows = table(spark, d, "molecule_structure").select("id", "structure").dropDuplicates(["id"])
-    bits = rows.select("id", graph_fingerprint("structure", FINGERPRINT).alias("fp"))
+    bits = rows.select("id", graph_fingerprint("structure", Store(spark, d).config().fingerprint).alias("fp"))
     return bits.select("id", F.size("fp").alias("fingerprint_len"), F.array_join(F.col("fp").cast("array<string>"), ",").alias("bits"))
 
 
 def minhash_sig(spark: SparkSession, d: str) -> DataFrame:
-    s = Store(spark, d).structures()
-    return s.select("structure", F.array_join(minhash("fp", LSH.permutations, LSH.seed).cast("array<string>"), "-").alias("sig"))
+    store = Store(spark, d)
+    settings = store.config().molecules
+    return store.structures().select("structure", F.array_join(minhash("fp", settings.permutations, settings.seed).cast("array<string>"), "-").alias("sig"))
 
 
 def lsh_index(spark: SparkSession, d: str) -> DataFrame:
-    return search.lsh_index(Store(spark, d).structures(), "structure", LSH)
+    store = Store(spark, d)
+    return search.lsh_index(store.structures(), "structure", store.config().molecules)
 
 
 # Molecules
@@ -54,37 +58,40 @@ def mol_exact(spark: SparkSession, d: str) -> DataFrame:
     return q.join(rows, "signature").select("query", F.col("id").alias("structure"), "molecule")
 
 
-def _lsh_pairs(store: Store) -> DataFrame:
-    index = store.molecule_lsh()
-    q = index.where(F.col("structure_id") % EVERY == 0).select(F.col("structure_id").alias("query"), "band", "key")
-    return search.lsh_candidates(q, index)
-
-
-def _similar(spark: SparkSession, d: str, limit: float | None) -> DataFrame:
+def _similar(spark: SparkSession, d: str, limit: float | None = None, *, cut: bool = True) -> DataFrame:
+    """By the stored similarity index; with ``cut``, above ``limit`` (the index's threshold by default, an error outside [0, 1])."""
     store = Store(spark, d)
     s = store.structures()
-    return search.scored(_lsh_pairs(store), _queries(s, "structure"), s, "structure", limit)
+    index = store.molecule_lsh()
+    asked = index.where(F.col("structure_id") % EVERY == 0).select(F.col("structure_id").alias("query"), "band", "key")
+    if not cut:
+        return search.scored(search.lsh_candidates(asked, index), _queries(s, "structure"), s, "structure", None)
+    limit = score_limit(limit, store.config().molecules.threshold)
+    sizes = _queries(s, "structure").select("query", F.size("fp").alias("n")), s.select(F.col("structure").alias("structure_id"), F.size("fp").alias("m"))
+    return search.scored(search.lsh_candidates(asked, index, sizes=sizes, limit=limit), _queries(s, "structure"), s, "structure", limit)
 
 
-def mol_similar(spark: SparkSession, d: str) -> DataFrame:
+def mol_similar(spark: SparkSession, d: str, limit: float | None = None) -> DataFrame:
     """By the stored similarity index, best first within a query."""
-    return _similar(spark, d, LIMIT).select("query", "molecule", "structure", "t").orderBy("query", F.desc("t"), "molecule", "structure")
+    return _similar(spark, d, limit).select("query", "molecule", "structure", "t").orderBy("query", F.desc("t"), "molecule", "structure")
 
 
-def mol_similar_unordered(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d, LIMIT).select("query", "molecule", "structure")
+def mol_similar_unordered(spark: SparkSession, d: str, limit: float | None = None) -> DataFrame:
+    return _similar(spark, d, limit).select("query", "molecule", "structure")
 
 
-def mol_similar_exact(spark: SparkSession, d: str) -> DataFrame:
+def mol_similar_exact(spark: SparkSession, d: str, limit: float | None = None) -> DataFrame:
     """All similar structures, not only those that the index meets."""
-    s = Store(spark, d).structures()
-    return search.similar_exact(_queries(s, "structure"), s, "structure", LIMIT).select("query", "molecule", "structure", "t")
+    store = Store(spark, d)
+    s = store.structures()
+    return search.similar_exact(_queries(s, "structure"), s, "structure", score_limit(limit, store.config().molecules.threshold)).select("query", "molecule", "structure", "t")
 
 
 def batch_similar(spark: SparkSession, d: str) -> DataFrame:
     """Every arriving structure against the store."""
     new = table(spark, d, "incoming_structure").select(F.col("incoming_id").alias("query"), bit_set("fingerprint").alias("fp")).where("size(fp) > 0").distinct()
-    return search.similar_exact(new, Store(spark, d).structures(), "structure", LIMIT).select("query", "molecule", "structure", "t")
+    store = Store(spark, d)
+    return search.similar_exact(new, store.structures(), "structure", store.config().molecules.threshold).select("query", "molecule", "structure", "t")
 
 
 def _contained(spark: SparkSession, d: str, *, prefilter: bool) -> DataFrame:
@@ -99,13 +106,17 @@ def mol_substructure_screen(spark: SparkSession, d: str) -> DataFrame:
 
 def containment_inverted(spark: SparkSession, d: str) -> DataFrame:
     s = Store(spark, d).structures()
-    return search.contained_counts(_queries(s, "structure"), s, "structure")
+    return search.contained_counts(_queries(s, "structure"), stored(search.inverted(s, "structure"), "postings"), "structure")
 
 
 def len_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    """Structures of the lengths an ordered search looks at, for a query of 4 bits."""
+    """How many structures have a length that an ordered search looks at, for each query: by lengths, never by pairs of structures."""
     s = Store(spark, d).structures()
-    return s.where(length_window(F.size("fp"), F.lit(4))).select("structure", F.size("fp").alias("n"))
+    q = _queries(s, "structure").select("query", F.size("fp").alias("length"))
+    lengths = s.groupBy(F.size("fp").alias("n")).agg(F.count(F.lit(1)).alias("structures"))
+    asked = q.select("length").distinct()
+    within = asked.join(lengths, length_window("n", F.col("length"))).groupBy("length").agg(F.sum("structures").alias("structures"))
+    return q.join(within, "length").select("query", "length", "structures")
 
 
 def _verified(spark: SparkSession, d: str, *, prefilter: bool) -> DataFrame:
@@ -155,7 +166,7 @@ def _lift(spark: SparkSession, d: str, hits: DataFrame, is_product: bool | None)
 
 def similars_in_reactions(spark: SparkSession, d: str, is_product: bool | None = None) -> DataFrame:
     """Reactions of the index's candidates, without a cut by score."""
-    hits = _similar(spark, d, None).select("query", "molecule", "t").distinct()
+    hits = _similar(spark, d, cut=False).select("query", "molecule", "t").distinct()
     return _lift(spark, d, hits, is_product).select("query", "reaction", "molecule", "t").distinct()
 
 
@@ -171,12 +182,18 @@ def mol_reactions(spark: SparkSession, d: str, is_product: bool | None = None) -
     return _lift(spark, d, hits, is_product).select("query", "reaction")
 
 
-def nonorganic_reactions(spark: SparkSession, d: str) -> DataFrame:
+def molecule_reactions(spark: SparkSession, d: str, is_product: bool | None = None) -> DataFrame:
+    """Reactions of a molecule given by its id, once per use."""
+    hits = Store(spark, d).rows("molecule_structure", "molecule").where(F.col("molecule") % EVERY == 0)
+    return _lift(spark, d, hits.select(F.col("molecule").alias("query"), "molecule"), is_product).select("query", "reaction")
+
+
+def nonorganic_reactions(spark: SparkSession, d: str, is_product: bool | None = None) -> DataFrame:
     """Reactions of every non-organic structure found by its signature, once per use."""
     store = Store(spark, d)
     rows = store.rows("non_organic", "id", "signature")
     hits = rows.select(F.col("id").alias("query"), "signature").join(rows.withColumnRenamed("id", "non_organic"), "signature").select("query", "non_organic")
-    return reactions.lifted(hits, store.substance_molecules(), store.reaction_roles(), None, component="non_organic").select("query", "reaction", "is_product")
+    return reactions.lifted(hits, store.substance_molecules(), store.reaction_roles(), is_product, component="non_organic").select("query", "reaction", "is_product")
 
 
 # Reactions
@@ -241,20 +258,58 @@ def _component_hits(spark: SparkSession, d: str, *, similar: bool) -> DataFrame:
     return parts.join(hits, "asked").join(used, ["molecule", "is_product"]).select("query", "component_no", "reaction", "molecule", "t")
 
 
+def _best_first(found: DataFrame) -> DataFrame:
+    return found.orderBy("query", F.desc("score"), "reaction")
+
+
+def _rxn(spark: SparkSession, d: str, *, similar: bool, ordered: bool = True) -> DataFrame:
+    return reactions.ranked(_component_hits(spark, d, similar=similar), ordered=ordered)
+
+
 def rxn_similar(spark: SparkSession, d: str, *, ordered: bool = True) -> DataFrame:
-    return reactions.ranked(_component_hits(spark, d, similar=True), ordered=ordered)
+    found = _rxn(spark, d, similar=True, ordered=ordered)
+    return _best_first(found) if ordered else found
 
 
 def rxn_substructure(spark: SparkSession, d: str, *, ordered: bool = True) -> DataFrame:
-    return reactions.ranked(_component_hits(spark, d, similar=False), ordered=ordered)
+    found = _rxn(spark, d, similar=False, ordered=ordered)
+    return _best_first(found) if ordered else found
 
 
 def rxn_similar_center(spark: SparkSession, d: str) -> DataFrame:
-    return reactions.same_centre(rxn_similar(spark, d), Store(spark, d).rows("reaction", "id", "reaction_center"))
+    return _best_first(reactions.same_centre(_rxn(spark, d, similar=True), Store(spark, d).rows("reaction", "id", "reaction_center")))
 
 
 def rxn_substructure_center(spark: SparkSession, d: str) -> DataFrame:
-    return reactions.same_centre(rxn_substructure(spark, d), Store(spark, d).rows("reaction", "id", "reaction_center"))
+    return _best_first(reactions.same_centre(_rxn(spark, d, similar=False), Store(spark, d).rows("reaction", "id", "reaction_center")))
+
+
+def rxn_topk(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k best reactions of each query, by components that its components are a part of."""
+    return search.first_of(_rxn(spark, d, similar=False), ["query"], [F.desc("score"), F.col("reaction")], k).select("query", "reaction", "score")
+
+
+def rxn_query_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that a search refuses: without a searchable component, or, for a search by centre, without a centre."""
+    store = Store(spark, d)
+    parts = _parts(store, _asked(store)).select("query", "molecule")
+    nothing = reactions.unsearchable(_asked(store), parts, store.structures().select("molecule"))
+    centres = store.rows("reaction", "id", "reaction_center").where(F.col("id") % EVERY == 0)
+    blank = centres.groupBy(F.col("id").alias("query")).agg(F.max(F.coalesce(F.col("reaction_center") != "", F.lit(False))).alias("has")).where("not has")
+    return nothing.select("query", F.lit("no searchable component").alias("error")).unionByName(blank.select("query", F.lit("no centre").alias("error")))
+
+
+def _role_parts(spark: SparkSession, d: str) -> DataFrame:
+    """reaction, substances: each reaction's substances with role, mapping and parts."""
+    roles = table(spark, d, "reaction_substance").select("id", "reaction", "substance", "is_product", "mapping").where("is_product is not null").dropDuplicates(["id"])
+    parts = _substance_parts(spark, d).select("id", "substance", F.coalesce("structure", "other").alias("structure"), "mapping")
+    return reactions.by_role(roles, parts)
+
+
+def reaction_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The graphs of each reaction's two sides, remapped and united by role: atoms and bonds of each."""
+    both = _role_parts(spark, d).withColumn("g", sides("substances"))
+    return both.select("reaction", *(F.size(f"g.{side}.{what}").alias(f"{side}_{what}") for side in ("reactants", "products") for what in ("atoms", "bonds")))
 
 
 # Condensed graphs
@@ -267,16 +322,33 @@ def cgr_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cgr_similar(spark: SparkSession, d: str) -> DataFrame:
-    """By an index of its own, without a cut by score."""
-    s = Store(spark, d).condensed()
-    index = search.lsh_index(s, "cgr", LSH)
+    """By the stored index of condensed graphs, or one built once where the folder has none, without a cut by score; best first."""
+    store = Store(spark, d)
+    s = store.condensed()
+    index = store.cgr_lsh()
     q = index.where(F.col("structure_id") % EVERY == 0).select(F.col("structure_id").alias("query"), "band", "key")
-    return search.scored(search.lsh_candidates(q, index), _queries(s, "cgr"), s, "cgr", None).select("query", "cgr", "t")
+    found = search.scored(search.lsh_candidates(q, index), _queries(s, "cgr"), s, "cgr", None)
+    return found.select("query", "cgr", "t").orderBy("query", F.desc("t"), "cgr")
 
 
-def cgr_similar_exact(spark: SparkSession, d: str) -> DataFrame:
-    s = Store(spark, d).condensed()
-    return search.similar_exact(_queries(s, "cgr"), s, "cgr", LIMIT).select("query", "cgr", "t")
+def cgr_similar_exact(spark: SparkSession, d: str, limit: float | None = None) -> DataFrame:
+    store = Store(spark, d)
+    s = store.condensed()
+    return search.similar_exact(_queries(s, "cgr"), s, "cgr", score_limit(limit, store.config().cgrs.threshold)).select("query", "cgr", "t")
+
+
+def cgr_topk(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k condensed graphs most similar to each query, whatever their score."""
+    s = Store(spark, d).condensed().select("cgr", F.col("cgr").alias("molecule"), "fp")
+    return search.top_each(_queries(s, "cgr"), s, "cgr", k).select("query", "cgr", "t")
+
+
+def cgr_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Bits of each stored condensed graph by the engine's own fragmenter, and of its reaction centre alone."""
+    rows = table(spark, d, "cgr").select("id", "structure").dropDuplicates(["id"])
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    config = Store(spark, d).config().fingerprint
+    return rows.select(F.col("id").alias("cgr"), text(graph_fingerprint("structure", config)).alias("bits"), text(centre_fingerprint("structure", replace(config, max_radius=4))).alias("centre_bits"))
 
 
 def cgr_substructure_screen(spark: SparkSession, d: str) -> DataFrame:
@@ -311,15 +383,73 @@ def organic_split(spark: SparkSession, d: str) -> DataFrame:
     """Structures by the organic test: no net charge, and organic elements only."""
     rows = table(spark, d, "molecule_structure").select("id", "structure").unionAll(table(spark, d, "non_organic").select((-F.col("id")).alias("id"), "structure")).dropDuplicates(["id"])
     atoms = F.col("structure.atoms")
-    elements = F.forall(atoms, lambda a: a.symbol.isin(*"B C N O Si P S Se F Cl Br I".split()))
+    elements = F.forall(atoms, lambda a: a.symbol.isin(*sorted(ORGANIC)))
     charge = F.aggregate(atoms, F.lit(0), lambda s, a: s + a.charge)
     return rows.select("id", (elements & (charge == 0)).alias("organic"))
 
 
+def navigation(spark: SparkSession, d: str) -> DataFrame:
+    """From each molecule to its structures, substances, reactions and condensed graphs: how many of each."""
+    store = Store(spark, d)
+    structures = store.rows("molecule_structure", "id", "molecule").groupBy("molecule").agg(F.count(F.lit(1)).alias("structures"))
+    used = store.substance_molecules().where("molecule is not null").select("molecule", "substance").distinct()
+    substances = used.groupBy("molecule").agg(F.count(F.lit(1)).alias("substances"))
+    made = store.reaction_roles().select("reaction", "substance").distinct().join(used, "substance").select("molecule", "reaction").distinct()
+    graphs = store.rows("cgr", "id", "reaction").groupBy("reaction").agg(F.count(F.lit(1)).alias("c"))
+    lifted = made.join(graphs, "reaction", "left").groupBy("molecule").agg(F.count(F.lit(1)).alias("reactions"), F.coalesce(F.sum("c"), F.lit(0)).alias("cgrs"))
+    return structures.join(substances, "molecule", "left").join(lifted, "molecule", "left").fillna(0)
+
+
+def _source_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a source table and of its link table, from the sources that records name; a source has the least id of its records."""
+    rows = table(spark, d, "documents").where("source is not null").select(F.trim(F.regexp_replace("source", " +", " ")).alias("name"), F.col("doc_id").alias("record"))
+    sources = rows.groupBy("name").agg(F.min("record").alias("id"))
+    return sources, rows.join(sources, "name").select(F.col("id").alias("source"), "record")
+
+
 def source_links(spark: SparkSession, d: str) -> DataFrame:
-    """Sources by name with their linked records."""
-    rows = table(spark, d, "documents").where("source is not null").select(F.trim(F.regexp_replace("source", " +", " ")).alias("name"), "doc_id")
-    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    """Records by the sources they are linked to: source, link table and records joined."""
+    sources, links = _source_tables(spark, d)
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("record"), "lang").distinct()
+    return reactions.of_sources(stored(sources, "sources"), stored(links, "links"), records, "record").select("name", "record", "lang")
+
+
+def structure_compat(spark: SparkSession, d: str) -> DataFrame:
+    """Further structures of a molecule against its canonic one: whether they have the same atoms."""
+    rows = table(spark, d, "molecule_structure").select("id", "molecule", "is_canonic", "structure").dropDuplicates(["id"])
+    first = search.distinct_on(rows.where("is_canonic"), ["molecule"], [F.col("id")]).select("molecule", F.col("structure").alias("canonic"))
+    return rows.where("not is_canonic").join(first, "molecule").select(F.col("id").alias("structure"), "molecule", load.compatible("structure", "canonic").alias("compatible"))
+
+
+def _known(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The stored tables that a load looks into."""
+    out = {name: table(spark, d, name).dropDuplicates(["id"]) for name in ("molecule_structure", "non_organic", "substance", "substance_structure", "reaction", "reaction_substance", "cgr")}
+    return out | {"molecule": out["molecule_structure"].select(F.col("molecule").alias("id")).distinct()}
+
+
+def load_substances(spark: SparkSession, d: str) -> DataFrame:
+    """The loadable lines as new rows of all tables: how many of each, and how many links reuse a structure and keep its mapping."""
+    lines = bad_rows.parse_rows(table(spark, d, "upload_smi"), "raw", bad_rows.SMI_LINE, ["file_no", "line_no"], "line_no").where("reason is null").dropDuplicates(["file_no", "line_no"])
+    done = load.load_substances(lines, "smi", ["file_no", "line_no"], _known(spark, d), name="idx", config=Store(spark, d).config())
+    return _counted(done)
+
+
+def load_reactions(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the loaded file paired into reactions (a line and the next of its file), as new rows of all tables."""
+    lines = bad_rows.parse_rows(table(spark, d, "upload_smi"), "raw", bad_rows.SMI_LINE, ["file_no", "line_no"], "line_no").where("reason is null").dropDuplicates(["file_no", "line_no"])
+    after = lines.select("file_no", (F.col("line_no") - 1).alias("line_no"), F.col("smi").alias("product"))
+    both = lines.join(after, ["file_no", "line_no"]).select("file_no", "line_no", F.concat("smi", F.lit(">>"), "product").alias("reaction"))
+    return _counted(load.load_reactions(both, "reaction", ["file_no", "line_no"], _known(spark, d), config=Store(spark, d).config()))
+
+
+def _counted(done: load.Loaded) -> DataFrame:
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).select(F.lit(name).alias("tab"), "*") for name, df in sorted(done.tables.items())]
+    reused = done.tables["substance_structure"].where("mapping is not null").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    parts += [reused.select(F.lit("reused").alias("tab"), "*"), done.quarantine.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("quarantine").alias("tab"), "rows", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("last_id"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +464,7 @@ def dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
 def smiles_parse(spark: SparkSession, d: str) -> DataFrame:
     """Components of the loadable lines, with signature, canonical text and class; lines that are no molecule."""
     lines = bad_rows.parse_rows(table(spark, d, "upload_smi"), "raw", bad_rows.SMI_LINE, ["file_no", "line_no"], "line_no").where("reason is null").distinct()
-    good, bad = ingest.parsed_components(lines, "smi", ["file_no", "line_no", "idx"], config=FINGERPRINT)
+    good, bad = ingest.parsed_components(lines, "smi", ["file_no", "line_no", "idx"], config=Store(spark, d).config().fingerprint)
     good = good.select("file_no", "line_no", "idx", "component_no", F.hex("signature").alias("signature"), "smiles", F.size("fingerprint").alias("fingerprint_len"), "organic", F.lit(None).cast("string").alias("error"))
     return good.unionByName(bad, allowMissingColumns=True)
 
@@ -380,14 +510,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         fp_build, minhash_sig, lsh_index, mol_exact, mol_similar, mol_similar_unordered, mol_similar_exact, batch_similar, mol_substructure_screen, containment_inverted,
-        len_prefilter, mol_substructure, mol_substructure_unordered, distinct_on, nonorganic_reactions, rxn_exact, rxn_exact_mapped, rxn_exact_composed, rxn_similar, rxn_similar_center,
+        len_prefilter, mol_substructure, mol_substructure_unordered, distinct_on, rxn_exact, rxn_exact_mapped, rxn_exact_composed, rxn_similar, rxn_similar_center,
         rxn_substructure, rxn_substructure_center, cgr_exact, cgr_similar, cgr_similar_exact, cgr_substructure_screen, cgr_substructure, cgr_substructure_unordered,
-        substance_components, organic_split, source_links, dedup_upsert, smiles_parse, substance_graphs, reaction_centres, condensed_sides,
+        cgr_fingerprints, rxn_query_errors, reaction_graphs, navigation, structure_compat, load_substances, load_reactions, substance_components, organic_split, source_links, dedup_upsert, smiles_parse, substance_graphs, reaction_centres, condensed_sides,
     )
 }
 QUERIES |= {f"topk_{k}": partial(topk, k=k) for k in (1, 10, 100, 1000)}
+QUERIES |= {f"cgr_topk_{k}": partial(cgr_topk, k=k) for k in (1, 10, 100, 1000)} | {f"rxn_topk_{k}": partial(rxn_topk, k=k) for k in (1, 10, 100, 1000)}
 QUERIES |= {f"topk_each_{k}": partial(topk_each, k=k) for k in (1, 10, 100, 1000)}
-QUERIES |= {f"{f.__name__}{r}": partial(f, is_product=p) for f in (similars_in_reactions, substructures_in_reactions, mol_reactions) for r, p in ROLES.items()}
+QUERIES |= {f"{f.__name__}{r}": partial(f, is_product=p) for f in (similars_in_reactions, substructures_in_reactions, mol_reactions, molecule_reactions, nonorganic_reactions) for r, p in ROLES.items()}
 QUERIES |= {"rxn_exact_anyrole": partial(rxn_exact, fix_roles=False), "rxn_similar_unordered": partial(rxn_similar, ordered=False), "rxn_substructure_unordered": partial(rxn_substructure, ordered=False)}
 
 # The same in SQL
@@ -452,10 +583,34 @@ SQL = {
     + "SELECT query, molecule, structure, round(i::DOUBLE / (n + m - i), 9) AS t FROM e WHERE round(i::DOUBLE / (n + m - i), 9) > 0.7",
     "mol_substructure_screen": _with(_MS, _Q, _BITS, _EXACT, _CONT) + "SELECT * FROM c",
     "containment_inverted": _with(_MS, _Q, _BITS, _EXACT) + "SELECT query, structure, i AS hits FROM e WHERE i = n",
-    "len_prefilter": _with(_MS) + "SELECT structure, len(f)::INT AS n FROM ms WHERE len(f) BETWEEN 4 AND 44",
+    "len_prefilter": _with(_MS, _Q) + "SELECT query, len(q.f)::INT AS length, count(*) AS structures FROM q JOIN ms ON len(ms.f) BETWEEN len(q.f) AND 10 * len(q.f) + 4 GROUP BY query, len(q.f)",
+    "rxn_query_errors": _with(_MS, _SM, _RS, _PARTS) + """
+        SELECT DISTINCT id AS query, 'no searchable component' AS error FROM reaction WHERE id % 100 = 0 AND id NOT IN (SELECT query FROM pa JOIN ms USING (molecule))
+        UNION ALL SELECT id, 'no centre' FROM reaction WHERE id % 100 = 0 GROUP BY id HAVING NOT bool_or(coalesce(reaction_center <> '', false))""",
+    "reaction_graphs": """
+        WITH s AS (SELECT DISTINCT id, substance, molecule, non_organic FROM substance_structure),
+             c AS (SELECT molecule, first(len(structure.atoms) ORDER BY id) AS a, first(len(structure.bonds) ORDER BY id) AS b FROM molecule_structure WHERE is_canonic GROUP BY molecule),
+             o AS (SELECT id, first(len(structure.atoms)) AS a, first(len(structure.bonds)) AS b FROM non_organic GROUP BY id),
+             z AS (SELECT substance, sum(coalesce(c.a, o.a, 0)) AS a, sum(coalesce(c.b, o.b, 0)) AS b FROM s LEFT JOIN c USING (molecule) LEFT JOIN o ON o.id = non_organic GROUP BY substance),
+             r AS (SELECT DISTINCT id, reaction, substance, is_product FROM reaction_substance WHERE is_product IS NOT NULL)
+        SELECT reaction, coalesce(sum(a) FILTER (NOT is_product), 0)::INT AS reactants_atoms, coalesce(sum(b) FILTER (NOT is_product), 0)::INT AS reactants_bonds,
+               coalesce(sum(a) FILTER (is_product), 0)::INT AS products_atoms, coalesce(sum(b) FILTER (is_product), 0)::INT AS products_bonds FROM r LEFT JOIN z USING (substance) GROUP BY reaction""",
+    "navigation": """
+        WITH m AS (SELECT molecule, count(DISTINCT id) AS structures FROM molecule_structure GROUP BY molecule),
+             u AS (SELECT DISTINCT molecule, substance FROM substance_structure WHERE molecule IS NOT NULL),
+             x AS (SELECT DISTINCT molecule, reaction FROM u JOIN reaction_substance USING (substance)),
+             g AS (SELECT reaction, count(DISTINCT id) AS c FROM cgr GROUP BY reaction),
+             r AS (SELECT molecule, count(*) AS reactions, coalesce(sum(c), 0)::BIGINT AS cgrs FROM x LEFT JOIN g USING (reaction) GROUP BY molecule)
+        SELECT molecule, structures, coalesce((SELECT count(*) FROM u WHERE u.molecule = m.molecule), 0) AS substances, coalesce(reactions, 0) AS reactions, coalesce(cgrs, 0) AS cgrs
+        FROM m LEFT JOIN r USING (molecule)""",
+    "structure_compat": """
+        WITH s AS (SELECT DISTINCT ON (id) id, molecule, is_canonic, list_sort(list_transform(structure.atoms, lambda a: {'n': a.n, 's': a.symbol, 'i': coalesce(a.isotope, 0)})) AS atoms FROM molecule_structure),
+             c AS (SELECT DISTINCT ON (molecule) molecule, atoms AS canonic FROM s WHERE is_canonic ORDER BY molecule, id)
+        SELECT id AS structure, molecule, atoms = canonic AS compatible FROM s JOIN c USING (molecule) WHERE NOT is_canonic""",
+    "condensed_sides": """
+        SELECT DISTINCT id, len(list_filter(structure.bonds, lambda b: b.order_before > 0))::INT AS bonds_before, len(list_filter(structure.bonds, lambda b: b.order_after > 0))::INT AS bonds_after,
+               len(list_filter(structure.bonds, lambda b: b.order_before <> b.order_after))::INT AS changed FROM cgr""",
     "distinct_on": _with(_MS, _Q, _BITS, _EXACT, _CONT, _BEST) + "SELECT * FROM b",
-    "nonorganic_reactions": _with(_SM, _RS, "x AS (SELECT a.id AS query, b.id AS non_organic FROM (SELECT DISTINCT id, signature FROM non_organic) a JOIN (SELECT DISTINCT id, signature FROM non_organic) b USING (signature))")
-    + "SELECT query, reaction, is_product FROM x JOIN sm USING (non_organic) JOIN rs USING (substance)",
     "rxn_similar": _with(_MS, _LSH, _SM, _RS, _PARTS, _CANON, _ASK, _USED, _HSIM, _HITS) + _ORDERED,
     "rxn_similar_unordered": _with(_MS, _LSH, _SM, _RS, _PARTS, _CANON, _ASK, _USED, _HSIM, _HITS) + _UNORDERED,
     "rxn_similar_center": _with(_MS, _LSH, _SM, _RS, _PARTS, _CANON, _ASK, _USED, _HSIM, _HITS) + _CENTRE.format(_ORDERED),
@@ -472,7 +627,7 @@ SQL = {
         WITH a AS (SELECT DISTINCT id, structure.atoms AS atoms FROM molecule_structure UNION ALL SELECT DISTINCT -id, structure.atoms FROM non_organic)
         SELECT id, len(list_filter(atoms, lambda x: x.symbol NOT IN ('B','C','N','O','Si','P','S','Se','F','Cl','Br','I'))) = 0
                    AND coalesce(list_sum(list_transform(atoms, lambda x: x.charge)), 0) = 0 AS organic FROM a""",
-    "source_links": "SELECT trim(regexp_replace(source, ' +', ' ', 'g')) AS name, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE source IS NOT NULL GROUP BY 1",
+    "source_links": "SELECT trim(regexp_replace(source, ' +', ' ', 'g')) AS name, doc_id AS record, lang FROM documents WHERE source IS NOT NULL",
     "dedup_upsert": """
         WITH n AS (SELECT DISTINCT incoming_id, batch_no, signature FROM incoming_structure WHERE signature IS NOT NULL),
              k AS (SELECT signature, min(id) AS known_id FROM molecule_structure WHERE signature IS NOT NULL GROUP BY signature)
@@ -482,9 +637,13 @@ SQL = {
 for _k in (1, 10, 100, 1000):
     SQL[f"topk_{_k}"] = _with(_MS, "q AS (SELECT structure AS query, f FROM ms WHERE structure % 100 = 0 ORDER BY structure LIMIT 1)", _BITS, _EXACT) + f"SELECT structure, molecule, round(i::DOUBLE / (n + m - i), 9) AS t FROM e ORDER BY t DESC, molecule, structure LIMIT {_k}"
     SQL[f"topk_each_{_k}"] = _with(_MS, _Q, f"a AS (SELECT query, structure, molecule, {_T.format(a='q.f', b='ms.f')} AS t FROM q CROSS JOIN ms)") + f"SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query ORDER BY t DESC, molecule, structure) <= {_k}"
+    SQL[f"cgr_topk_{_k}"] = _with(_CG, _Q, f"a AS (SELECT query, structure AS cgr, {_T.format(a='q.f', b='ms.f')} AS t FROM q CROSS JOIN ms)") + f"SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query ORDER BY t DESC, cgr) <= {_k}"
+    SQL[f"rxn_topk_{_k}"] = f"SELECT query, reaction, score FROM ({SQL['rxn_substructure']}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, reaction) <= {_k}"
 for _r, _w in _ROLE.items():
     SQL[f"similars_in_reactions{_r}"] = _with(_MS, _Q, _LSH, _PAIRS, _SIM, _SM, _RS) + _lifted_sql("s", "query, reaction, molecule, t", _w)
     SQL[f"substructures_in_reactions{_r}"] = _with(_MS, _Q, _BITS, _EXACT, _CONT, _BEST, _SM, _RS) + _lifted_sql("b", "query, reaction, molecule, t", _w)
+    SQL[f"molecule_reactions{_r}"] = _with("x AS (SELECT DISTINCT molecule AS query, molecule FROM molecule_structure WHERE molecule % 100 = 0)", _SM, _RS) + _lifted_sql("x", "query, reaction", _w, "")
+    SQL[f"nonorganic_reactions{_r}"] = _with(_SM, _RS, "x AS (SELECT a.id AS query, b.id AS non_organic FROM (SELECT DISTINCT id, signature FROM non_organic) a JOIN (SELECT DISTINCT id, signature FROM non_organic) b USING (signature))") + f"SELECT query, reaction, is_product FROM x JOIN sm USING (non_organic) JOIN rs USING (substance) WHERE true {_w}"
     SQL[f"mol_reactions{_r}"] = _with(_X, _SM, _RS) + _lifted_sql("x", "query, reaction", _w, "")
 for _name, _on in (("rxn_exact", "USING (component, is_product)"), ("rxn_exact_anyrole", "USING (component)")):
     _cols = "component, is_product" if "is_product" in _on else "component"

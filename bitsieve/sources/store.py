@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitsieve.config import EngineConfig
 from bitsieve.functions.graph_columns import CONDENSED, GRAPH
 from bitsieve.functions.sets import bit_set
-from bitsieve.sources.tables import table
+from bitsieve.operators import search
+from bitsieve.sources.tables import stored, table
 
 _INTS = T.ArrayType(T.IntegerType())
 _PAIRS = T.ArrayType(T.StructType().add("from", "integer").add("to", "integer"))
@@ -46,6 +48,14 @@ class Store:
     spark: SparkSession
     folder: str
 
+    def has(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def config(self) -> EngineConfig:
+        """The settings kept beside the tables, or the defaults."""
+        return EngineConfig.from_table(table(self.spark, self.folder, "config")) if self.has("config") else EngineConfig()
+
     def rows(self, name: str, *columns: str) -> DataFrame:
         return table(self.spark, self.folder, name).select(*columns).distinct()
 
@@ -61,6 +71,12 @@ class Store:
     def molecule_lsh(self) -> DataFrame:
         return self.rows("molecule_lsh", "band", "key", "structure_id").where("key is not null and band is not null")
 
+    def cgr_lsh(self) -> DataFrame:
+        """The stored index of condensed graphs; one is built, once, where there is none."""
+        if self.has("cgr_lsh"):
+            return self.rows("cgr_lsh", "band", "key", "structure_id").where("key is not null and band is not null")
+        return stored(search.lsh_index(self.condensed(), "cgr", self.config().cgrs), "cgr-lsh")
+
     def substance_molecules(self) -> DataFrame:
         return self.rows("substance_structure", "id", "substance", "molecule", "non_organic").select("substance", "molecule", "non_organic")
 
