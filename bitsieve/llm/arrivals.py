@@ -117,9 +117,9 @@ class _Index:
         self.cells = _Cells(spark, folder, self.COLUMNS, settings["buckets"])
 
     @staticmethod
-    def _new(spark: SparkSession, folder: str | None, name: str, settings: dict) -> tuple[str, dict]:
+    def _new(spark: SparkSession, folder: str | None, name: str, settings: dict, buckets: int | None = None) -> tuple[str, dict]:
         folder = folder or work_folder(spark, name)
-        settings = settings | {"buckets": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+        settings = settings | {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))}
         spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1).write.parquet(f"{folder}/settings")
         return folder, settings
 
@@ -154,9 +154,10 @@ class SetIndex(_Index):
         self._learn(spark.read.parquet(f"{folder}/ranges"))
 
     @classmethod
-    def build(cls, spark: SparkSession, stored_rows: DataFrame, threshold: Threshold, *, folder: str | None = None, pivots: int = PIVOTS) -> SetIndex:
-        """``stored_rows``: ``exact_key`` and ``items`` (sorted, distinct longs; null or empty: no set)."""
-        folder, settings = cls._new(spark, folder, "set-index", {"p": threshold.p, "q": threshold.q, "strict": threshold.strict})
+    def build(cls, spark: SparkSession, stored_rows: DataFrame, threshold: Threshold, *, folder: str | None = None, pivots: int = PIVOTS, buckets: int | None = None) -> SetIndex:
+        """``stored_rows``: ``exact_key`` and ``items`` (sorted, distinct longs; null or empty: no set). ``buckets``: files of one append, the
+        session's shuffle partitions by default."""
+        folder, settings = cls._new(spark, folder, "set-index", {"p": threshold.p, "q": threshold.q, "strict": threshold.strict}, buckets)
         sets = stored_rows.where("size(items) > 0").select("items").distinct()
         sample = sets.orderBy(F.md5(F.concat_ws(",", F.col("items").cast("array<string>")))).limit(pivots).collect()
         spark.createDataFrame([(i, r["items"]) for i, r in enumerate(sample)], "number int, items array<bigint>").coalesce(1).write.parquet(f"{folder}/pivots")
@@ -338,12 +339,25 @@ class MixtureIndex(_Index):
         return path
 
 
-def in_batches(arrivals: DataFrame, batch: str, index: SetIndex | MixtureIndex) -> DataFrame:
-    """The verdicts of all batches, checked one after another in the order of ``batch`` (null last)."""
-    arrivals = stored(arrivals, "arrivals")
-    numbers = sorted((r[0] for r in arrivals.select(batch).distinct().collect()), key=lambda b: (b is None, b))
-    written = [index.check(arrivals.where(F.col(batch).eqNullSafe(number))) for number in numbers]
+def _read(index: SetIndex | MixtureIndex, arrivals: DataFrame, written: list[str]) -> DataFrame:
     if not written:
         return index.spark.createDataFrame([], T.StructType([arrivals.schema["seq"], T.StructField("verdict", T.StringType())]))
     parts = index.spark.read.parquet(*written).withColumn("batch", F.regexp_extract(F.input_file_name(), "([^/]*)/[^/]*$", 1))
     return verdicts(parts)
+
+
+def in_batches(arrivals: DataFrame, batch: str, index: SetIndex | MixtureIndex) -> DataFrame:
+    """The verdicts of batches that are checked one after another in the order of ``batch`` (null last), as each comes in."""
+    arrivals = stored(arrivals, "arrivals")
+    numbers = sorted((r[0] for r in arrivals.select(batch).distinct().collect()), key=lambda b: (b is None, b))
+    return _read(index, arrivals, [index.check(arrivals.where(F.col(batch).eqNullSafe(number))) for number in numbers])
+
+
+def in_order(arrivals: DataFrame, batch: str, index: SetIndex | MixtureIndex) -> DataFrame:
+    """The same verdicts for batches that are all there: they are one batch, in the order of ``batch`` (null last) and ``seq``.
+
+    What is accepted depends on that order only, so the history is probed once for all of them.
+    """
+    place = F.struct(F.col(batch).isNull().alias("last"), F.col(batch).alias("batch"), F.col("seq").alias("seq"))
+    out = _read(index, arrivals, [index.check(stored(arrivals.withColumn("seq", place), "arrivals"))])
+    return out.select("seq.seq", "verdict")

@@ -47,6 +47,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_terms(spark, sf_dir).where("mark is not null").select("tab", "bit_no", "mark")
 
 
+def p6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one to three words (parts between white space) of the pages that at least 3 pages hold, with those in over 30 % marked."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda w: w != "").alias("words"))
+    counts = term_counts.ngram_counts(term_counts.record_terms(pages, "doc_id", "words"), 3).where("records >= 3")
+    total = pages.agg(F.count_distinct("doc_id").alias("n"))
+    mark = F.when(F.col("records") > 0.3 * F.col("n"), "common")
+    return counts.crossJoin(F.broadcast(total)).select(F.array_join("gram", " ").alias("gram"), F.size("gram").alias("length"), "occurrences", "records", mark.alias("mark"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one table that share more than 0.7 of the bits in either."""
     one = lambda name: set_pairs.similar_pairs(table(spark, sf_dir, name), "id", "fingerprint", Threshold(7, 10, strict=True)).select(
@@ -64,7 +73,7 @@ def _structure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = arrivals.SetIndex.build(spark, known, Threshold(9, 10, strict=False))
     new = table(spark, sf_dir, "incoming_structure").where("incoming_id is not null")
     new = new.select(F.col("incoming_id").alias("seq"), "batch_no", F.col("signature").alias("exact_key"), _sorted_set("fingerprint").alias("items")).distinct()
-    out = arrivals.in_batches(new, "batch_no", index)
+    out = arrivals.in_order(new, "batch_no", index)
     index.close(delete=True)
     return out.select(F.lit("structure").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
 
@@ -89,7 +98,7 @@ def _substance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stands_for = F.coalesce(F.concat(F.lit("m"), F.col("molecule").cast("string")), F.concat(F.lit("n"), F.col("non_organic").cast("string")), F.concat(F.lit("s"), F.hex("signature")), F.lit("?"))
     parts = parts.join(molecules, "signature", "left").join(others, "signature", "left").select("incoming_id", stands_for.alias("component"), "fraction")
     mixed = new.select(F.col("incoming_id").alias("seq"), "batch_no").join(_mixtures(parts, "incoming_id").withColumnRenamed("incoming_id", "seq"), "seq")
-    out = arrivals.in_batches(mixed, "batch_no", index)
+    out = arrivals.in_order(mixed, "batch_no", index)
     index.close(delete=True)
     return out.select(F.lit("substance").alias("item"), F.col("seq").alias("incoming_id"), "verdict")
 
@@ -116,7 +125,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.page_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"), areas)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p6_terms, p6_ngrams, p7_ids, p8_containers, p9_found)}
 
 SQL = {
     "p1_found": """
@@ -178,5 +187,12 @@ SQL = {
         SELECT tab, bit_no, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.3 * n THEN 'common' END AS mark
         FROM c JOIN n USING (tab)"""
     ),
+    "p6_ngrams": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM documents),
+             i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+             g AS (SELECT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM i, (VALUES (1), (2), (3)) t(n) WHERE i + n - 1 <= len(w))
+        SELECT gram, n::INT AS length, count(*) AS occurrences, count(DISTINCT doc_id) AS records,
+               CASE WHEN count(DISTINCT doc_id) > 0.3 * (SELECT count(DISTINCT doc_id) FROM documents) THEN 'common' END AS mark
+        FROM g GROUP BY gram, n HAVING count(DISTINCT doc_id) >= 3""",
     "p6_found": f"SELECT tab, bit_no, mark FROM ({_P6}) WHERE mark IS NOT NULL",
 }

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bitsieve.llm.arrivals import MixtureIndex, SetIndex, in_batches, settle
+from bitsieve.llm.arrivals import MixtureIndex, SetIndex, in_batches, in_order, settle
 from bitsieve.llm.pivots import Threshold
 
 
@@ -45,6 +45,9 @@ def test_sets_against_brute_force(spark, pivots):
     got = in_batches(rows, "batch", index).collect()
     assert len(got) == len({r.seq for r in got})
     assert {r.seq: r.verdict for r in got} == brute_sets(known, arrivals, t)
+    index.close(delete=True)
+    at_once = in_order(rows, "batch", SetIndex.build(spark, stored, t, pivots=pivots)).collect()
+    assert sorted(map(tuple, at_once)) == sorted(map(tuple, got))
 
 
 def test_empty_store_and_empty_batch(spark):
@@ -86,3 +89,25 @@ def test_chain_is_settled_in_order(spark):
     rows = [(i, False, [f"k{i}"], [f"k{j}" for j in (i - 1, i, i + 1)]) for i in range(n)]
     batch = spark.createDataFrame(rows, "seq long, refused boolean, own array<string>, looks array<string>")
     assert {r.seq: r.accepted for r in settle(batch)[0].collect()} == {i: i % 2 == 0 for i in range(n)}
+
+
+def test_a_batch_reads_what_it_probes(spark):
+    """Twice the history, in other cells: the same files are read for a batch, and few more rows."""
+    rng = random.Random(2)
+    near = lambda base, n: [sorted(rng.sample(range(base, base + 60), 30)) for _ in range(n)]
+    known = [s for base in (0, 1000, 2000, 3000) for s in near(base, 100)]
+    schema = "seq long, exact_key binary, items array<bigint>"
+    index = SetIndex.build(spark, spark.createDataFrame([(None, s) for s in known], "exact_key binary, items array<bigint>"), Threshold(9, 10, False), pivots=64, buckets=64)
+    read = []
+    for more in ([], near(2000, 200) + near(3000, 200)):
+        if more:
+            index.check(spark.createDataFrame([(i, None, s) for i, s in enumerate(more)], schema))
+            index = SetIndex.open(spark, index.folder)
+        rows = index.cells.rows
+        index.cells.rows = lambda zones=None, rows=rows: read.append((sorted(zones), rows(zones).count())) or rows(zones)
+        got = spark.read.parquet(index.check(spark.createDataFrame([(i, None, s) for i, s in enumerate(known[:2])], schema))).collect()
+        assert {(r.seq, r.accepted) for r in got} == {(0, False), (1, False)}
+    del read[1]  # of the new history itself
+    assert read[0][0] == read[1][0] and len(read[0][0]) < 40
+    assert read[1][1] - read[0][1] < 0.7 * 400 and read[0][1] < 0.7 * 400
+    assert index.cells.rows(list(range(64))).count() >= 790
