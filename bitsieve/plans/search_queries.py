@@ -142,15 +142,6 @@ def distinct_on(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topk(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """The k structures most similar to the first query, of those that share a bit with it; ``topk_each`` takes all queries and structures."""
-    s = Store(spark, d).structures()
-    one = _queries(s, "structure").orderBy("query").limit(1)
-    bits = one.select(F.explode("fp").alias("bit"), F.size("fp").alias("n")).join(s.select("structure", "molecule", F.size("fp").alias("m"), F.explode("fp").alias("bit")), "bit")
-    hits = bits.groupBy("structure", "molecule", "n", "m").agg(F.count(F.lit(1)).alias("i"))
-    return search.top(hits.select("structure", "molecule", F.round(F.col("i") / (F.col("n") + F.col("m") - F.col("i")), 9).alias("t")), k, "molecule", "structure")
-
-
-def topk_each(spark: SparkSession, d: str, k: int) -> DataFrame:
     """The k structures most similar to each query, whatever their score."""
     s = Store(spark, d).structures()
     return search.top_each(_queries(s, "structure"), s, "structure", k).select("query", "structure", "molecule", "t")
@@ -515,9 +506,8 @@ QUERIES = {
         cgr_fingerprints, rxn_query_errors, reaction_graphs, navigation, structure_compat, load_substances, load_reactions, substance_components, organic_split, source_links, dedup_upsert, smiles_parse, substance_graphs, reaction_centres, condensed_sides,
     )
 }
-QUERIES |= {f"topk_{k}": partial(topk, k=k) for k in (1, 10, 100, 1000)}
 QUERIES |= {f"cgr_topk_{k}": partial(cgr_topk, k=k) for k in (1, 10, 100, 1000)} | {f"rxn_topk_{k}": partial(rxn_topk, k=k) for k in (1, 10, 100, 1000)}
-QUERIES |= {f"topk_each_{k}": partial(topk_each, k=k) for k in (1, 10, 100, 1000)}
+QUERIES |= {f"topk_{k}": partial(topk, k=k) for k in (1, 10, 100, 1000)}
 QUERIES |= {f"{f.__name__}{r}": partial(f, is_product=p) for f in (similars_in_reactions, substructures_in_reactions, mol_reactions, molecule_reactions, nonorganic_reactions) for r, p in ROLES.items()}
 QUERIES |= {"rxn_exact_anyrole": partial(rxn_exact, fix_roles=False), "rxn_similar_unordered": partial(rxn_similar, ordered=False), "rxn_substructure_unordered": partial(rxn_substructure, ordered=False)}
 
@@ -635,8 +625,7 @@ SQL = {
     "rxn_exact_mapped": "",
 }
 for _k in (1, 10, 100, 1000):
-    SQL[f"topk_{_k}"] = _with(_MS, "q AS (SELECT structure AS query, f FROM ms WHERE structure % 100 = 0 ORDER BY structure LIMIT 1)", _BITS, _EXACT) + f"SELECT structure, molecule, round(i::DOUBLE / (n + m - i), 9) AS t FROM e ORDER BY t DESC, molecule, structure LIMIT {_k}"
-    SQL[f"topk_each_{_k}"] = _with(_MS, _Q, f"a AS (SELECT query, structure, molecule, {_T.format(a='q.f', b='ms.f')} AS t FROM q CROSS JOIN ms)") + f"SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query ORDER BY t DESC, molecule, structure) <= {_k}"
+    SQL[f"topk_{_k}"] = _with(_MS, _Q, f"a AS (SELECT query, structure, molecule, {_T.format(a='q.f', b='ms.f')} AS t FROM q CROSS JOIN ms)") + f"SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query ORDER BY t DESC, molecule, structure) <= {_k}"
     SQL[f"cgr_topk_{_k}"] = _with(_CG, _Q, f"a AS (SELECT query, structure AS cgr, {_T.format(a='q.f', b='ms.f')} AS t FROM q CROSS JOIN ms)") + f"SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query ORDER BY t DESC, cgr) <= {_k}"
     SQL[f"rxn_topk_{_k}"] = f"SELECT query, reaction, score FROM ({SQL['rxn_substructure']}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, reaction) <= {_k}"
 for _r, _w in _ROLE.items():
