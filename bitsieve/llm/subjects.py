@@ -7,10 +7,11 @@ them; a passage goes to the subject of its most similar centroid, by cosine simi
 enough and clearly more so than to any other subject. A page has the subjects that enough of its passages go to.
 
 What is fitted on labelled rows: the centroids' seeds and the terms' discrimination, on at most ``LABELLED`` labelled
-pages (the first by hash of their id). Everything else covers all pages: document frequencies, the decomposition
+pages (the first by hash of their id). Everything else covers all pages and all words: document frequencies, the decomposition
 (a randomised range finder whose products with the page-by-term matrix are sums over partitions), the refinement
-and the assignment. The vocabulary is bounded by ``TERMS``, the most frequent terms that are neither in fewer
-than ``RARE`` pages; the matrices that travel have TERMS x DIMENSIONS numbers whatever the corpus holds.
+and the assignment. A word in at least the share ``SHARE`` of all pages is a term of its own; as a page has a bounded number of words, there are at
+most words per page / ``SHARE`` of these, however large the corpus. All rarer words count as well: they are hashed into ``BUCKETS`` terms, each with the
+document frequency of its bucket.
 """
 
 from __future__ import annotations
@@ -26,15 +27,19 @@ from pyspark.sql import functions as F
 from bitsieve.sources.tables import stored
 
 LABELLED = 50_000
-TERMS = 16_384
-RARE = 10
-DIMENSIONS = 48
+SHARE = 5e-4
+BUCKETS = 2048
+DIMENSIONS = 32
 POWER_STEPS = 2
 REFINEMENTS = 2
 #: A passage's least cosine similarity, its least lead over the next subject, and its least length
-#: as a part of a median term's weight; passages that make a page's subject (fewer on short pages).
-SIMILAR, LEAD, LENGTH = 0.3, 0.1, 0.1
-ENOUGH, SHORT = 2, 3
+#: as a part of a median term's weight. A page has a subject that two of its clear passages have, or a third of them.
+SIMILAR, LEAD, LENGTH = 0.3, 0.1, 0.15
+ENOUGH, PART = 2, 1 / 3
+#: Cosine similarity from which a seed joins a larger one of its subject: pages of one language under several marks.
+SAME = 0.5
+#: Partitions that the sums over all pages are made in, for each core.
+SUMS_PER_CORE = 2
 
 
 def _reader():
@@ -93,24 +98,24 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _coded(sent):
-    """Words as term numbers; those outside the vocabulary are left out. Later passes then move numbers only."""
+    """Words as term numbers, rare ones as those of their buckets. Later passes then move numbers only."""
+    from zlib import crc32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = sent.value
+        own = len(number)
         for batch in batches:
             words, sizes = batch.column("words"), batch.column("sizes")
             coded = words.flatten().dictionary_encode()
-            known = np.array([number.get(w, -1) for w in coded.dictionary.to_pylist()], np.int32)
+            known = np.array([number[w] if w in number else own + crc32(w.encode()) % BUCKETS for w in coded.dictionary.to_pylist()], np.int32)
             term = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
             counts = sizes.flatten().to_numpy()
-            at = np.repeat(np.arange(len(counts)), counts)[term >= 0]
-            left = np.bincount(at, minlength=len(counts)).astype(np.int32)
-            ends = np.r_[0, np.cumsum(left)]
+            ends = np.r_[0, np.cumsum(counts)]
             bounds = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
             cols = {c: batch.column(c) for c in ("doc_id", "lang")}
             yield pa.RecordBatch.from_pydict(cols | {
-                "terms": pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(term[term >= 0])),
-                "sizes": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(left)),
+                "terms": pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(term)),
+                "sizes": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts)),
             })
 
     return run
@@ -153,7 +158,7 @@ def _sum_rows(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def _numbered(rows: np.ndarray) -> pa.RecordBatch:
     use = np.flatnonzero(np.abs(rows).sum(axis=1))
-    flat = rows[use].astype(np.float64)
+    flat = rows[use].astype(np.float32)
     offsets = np.arange(len(use) + 1, dtype=np.int32) * rows.shape[1]
     return pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))], ["row", "v"])
 
@@ -167,7 +172,9 @@ def _summed(pages: DataFrame, each, shape: tuple[int, int]) -> np.ndarray:
             each(batch, total)
         yield _numbered(total)
 
-    parts = pages.mapInArrow(run, "row int, v array<double>")
+    # Each partition sends one matrix: fewer, larger ones move less, however many files the corpus has.
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    parts = pages.coalesce(SUMS_PER_CORE * cores).mapInArrow(run, "row int, v array<float>")
     sums = parts.groupBy("row").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(shape[1])))
     out = np.zeros(shape)
     for r in sums.toArrow().to_batches():
@@ -211,35 +218,37 @@ def page_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str])
     n_pages = pages.count()
     # Terms by document frequency, all pages; and by label on the labelled ones.
     terms = pages.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = terms.where(F.col("df") >= RARE).orderBy(F.desc("df"), "term").limit(TERMS).collect()
-    number = spark.sparkContext.broadcast({r.term: i for i, r in enumerate(terms)})
+    terms = terms.where(F.col("df") >= max(2, SHARE * n_pages)).orderBy(F.desc("df"), "term").select("term").toArrow().column("term").to_pylist()
+    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
     pages = stored(pages.mapInArrow(_coded(number), f"doc_id {kind}, lang string, terms array<int>, sizes array<int>"), "coded")
     seen = stored(pages.join(known, "doc_id"), "labelled")
-    if not terms or seen.isEmpty():
+    if seen.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, subject string")
+    n_terms = len(terms) + BUCKETS
     v: dict = {}
-    labelled = _summed(seen, _label_counts(names), (len(terms), len(names)))
+    df = _summed(pages, _page_counts(n_terms), (n_terms, 1))[:, 0]
+    labelled = _summed(seen, _label_counts(names), (n_terms, len(names)))
     shares = seen.select(F.explode("labels").alias("s"), (1 / F.size("labels")).alias("w")).groupBy("s").agg(F.sum("w").alias("w")).collect()
     prior = np.maximum([sum(r.w for r in shares if r.s == s) for s in names], 1e-9)
     prior /= prior.sum()
     lift = (labelled + 2 * prior) / (labelled.sum(axis=1, keepdims=True) + 2) / prior
     lift /= lift.sum(axis=1, keepdims=True)
     decided = 1 + (lift * np.log(np.maximum(lift, 1e-12))).sum(axis=1) / np.log(max(2, len(names)))
-    v["weight"] = np.log(max(n_pages, 2) / np.array([r.df for r in terms])) * np.sqrt(np.maximum(decided, 0))
+    v["weight"] = np.log(max(n_pages, 2) / np.maximum(df, 1)) * np.sqrt(np.maximum(decided, 0))
     v["typical"] = float(np.median(v["weight"][v["weight"] > 0])) if (v["weight"] > 0).any() else 1.0
 
     # Truncated decomposition of the page-by-term matrix by a randomised range finder.
-    k = min(DIMENSIONS, len(terms))
-    v["axes"] = np.linalg.qr(np.random.default_rng(7).standard_normal((len(terms), k)))[0].astype(np.float32)
+    k = min(DIMENSIONS, n_terms)
+    v["axes"] = np.linalg.qr(np.random.default_rng(7).standard_normal((n_terms, k)))[0].astype(np.float32)
     for _ in range(POWER_STEPS + 1):
-        v["axes"] = np.linalg.qr(_summed(pages, _product(spark.sparkContext.broadcast(v)), (len(terms), k)))[0].astype(np.float32)
+        v["axes"] = np.linalg.qr(_summed(pages, _product(spark.sparkContext.broadcast(v)), (n_terms, k)))[0].astype(np.float32)
 
     # Seeds: mean vectors of the pages with one label, by subject and language.
-    languages = [r.lang for r in seen.where("lang is not null").groupBy("lang").count().where(f"count >= {len(names)}").orderBy(F.desc("count"), "lang").limit(16).collect()] or [""]
+    # Every language that labelled pages name, and none (""), has its seeds; those that lie close to a larger seed of their subject join it.
+    languages = sorted({r.lang or "" for r in seen.select("lang").distinct().collect()})
     groups = [(s, g) for g in languages for s in names]
     seeds = _summed(seen.where("size(labels) = 1"), _seed_sums(spark.sparkContext.broadcast(v), groups), (len(groups), k))
-    use = np.abs(seeds).sum(axis=1) > 0
-    v["centroids"], v["of"] = _unit(seeds[use]), np.array([names.index(s) for s, _ in groups])[use]
+    v["centroids"], v["of"] = _joined(seeds, np.array([names.index(s) for s, _ in groups]))
     for missing in set(range(len(names))) - set(v["of"].tolist()):
         v["centroids"], v["of"] = np.r_[v["centroids"], np.zeros((1, k))], np.r_[v["of"], missing]
     for _ in range(REFINEMENTS):
@@ -250,6 +259,32 @@ def page_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str])
     return out
 
 
+def _joined(seeds: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit centroids, their subjects) of summed page vectors, the longest sums first."""
+    sums: list[np.ndarray] = []
+    of: list[int] = []
+    for i in np.argsort(-np.linalg.norm(seeds, axis=1), kind="stable"):
+        if not np.abs(seeds[i]).sum():
+            continue
+        own = [j for j, s in enumerate(of) if s == subject[i]]
+        near = _unit(np.array([sums[j] for j in own])) @ _unit(seeds[i : i + 1])[0] if own else np.zeros(0)
+        if len(near) and near.max() >= SAME:
+            sums[own[int(near.argmax())]] += seeds[i]
+        else:
+            sums.append(seeds[i].copy())
+            of.append(int(subject[i]))
+    return _unit(np.array(sums).reshape(-1, seeds.shape[1])), np.array(of, np.int64)
+
+
+def _page_counts(n_terms: int):
+    def each(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        b = _Batch(batch)
+        key = np.unique(b.owner[b.at] * n_terms + b.term)
+        total[:, 0] += np.bincount(key % n_terms, minlength=n_terms)
+
+    return each
+
+
 def _label_counts(names: list[str]):
     def each(batch: pa.RecordBatch, total: np.ndarray) -> None:
         b = _Batch(batch)
@@ -270,7 +305,7 @@ def _product(sent):
         b = _Batch(batch)
         page, term, value = b.page_terms(v)
         y = _sum_rows(v["axes"][term] * value[:, None], page, b.pages)
-        order = np.argsort(term.astype(np.uint16), kind="stable")  # TERMS fit 16 bits
+        order = np.argsort(term.astype(np.uint16 if len(v["weight"]) <= 1 << 16 else np.uint32), kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0]) if len(order) else order
         if len(order):
             total[term[order[first]]] += np.add.reduceat(y[page[order]] * value[order, None], first)
@@ -311,8 +346,7 @@ def _assigned(sent, names: list[str]):
             clear, subject, _ = _chosen(z, length, v)
             votes = np.zeros((b.pages, len(names)), np.int64)
             np.add.at(votes, (b.owner[clear], subject[clear]), 1)
-            enough = np.where(votes.sum(axis=1, keepdims=True) <= SHORT, 1, ENOUGH)
-            page, k = np.nonzero(votes >= enough)
+            page, k = np.nonzero((votes >= ENOUGH) | ((votes > 0) & (votes >= PART * votes.sum(axis=1, keepdims=True))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(page)), pa.array([names[i] for i in k], pa.string())], ["doc_id", "subject"])
 
     return run

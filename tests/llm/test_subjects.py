@@ -17,8 +17,7 @@ def corpus(rng, n):
         yield 1000 + i, "\n".join(passages), set(own)
 
 
-def test_held_out_pages_and_edge_cases(spark, monkeypatch):
-    monkeypatch.setattr(subjects, "RARE", 2)
+def test_held_out_pages_and_edge_cases(spark):
     rng = random.Random(1)
     pages = list(corpus(rng, 300))
     labels = [(i, s) for i, _, own in pages[:100] for s in own if rng.random() < 0.9] + [(1001, "unknown"), (None, "law"), (1002, None), (99, "law")] + [(1000, "law")] * 2
