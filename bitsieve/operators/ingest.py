@@ -46,7 +46,8 @@ def smiles_lines(spark, path: str) -> DataFrame:
 def parsed_components(rows: DataFrame, smiles: str, keep: list[str], *, config: FingerprintConfig = FingerprintConfig(), max_radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(components, quarantine): one row per component of each parsed line; lines that are no molecule, with the error."""
     config = config if max_radius is None else replace(config, max_radius=max_radius)
-    out = rows.select(*keep, F.col(smiles).alias("__smiles")).withColumn("__p", parsed("__smiles", config))
+    # Parsed once: components and quarantine both read the result.
+    out = stored_table(rows.select(*keep, F.col(smiles).alias("__smiles")).withColumn("__p", parsed("__smiles", config)).drop("__smiles"), "parsed")
     good = out.where("__p.error is null").select(*keep, F.posexplode("__p.components").alias("component_no", "__c")).select(*keep, "component_no", "__c.*")
     return good, out.where("__p.error is not null").select(*keep, F.col("__p.error").alias("error"))
 
