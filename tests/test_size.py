@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitsieve.operators import search
+from bitsieve.plans import search_queries
 
 
 def shuffled(spark, df):
@@ -37,3 +38,14 @@ def test_exact_similarity_moves_no_candidates(spark, crowd):
     sets = {i: set(x) for i, x in rows}
     assert {(r.query, r.id): r.t for r in got} == {(i, j): t(x, y) for i, x in sets.items() for j, y in sets.items() if t(x, y) > 0.7}
     assert moved < 20 * len(rows)
+
+
+def test_limited_index_search_moves_no_candidates(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, i, sorted(rng.sample(range(60), 30)), True) for i in range(400)]
+    rows += [(1000 + i, 1000 + i, rows[100 * i][2][:-1], True) for i in range(4)]
+    spark.createDataFrame(rows, "id long, molecule long, fingerprint array<int>, is_canonic boolean").write.parquet(f"{tmp_path}/molecule_structure.parquet")
+    spark.createDataFrame([(b, "hot" if r[0] != 1001 else "cold", r[0]) for r in rows for b in range(8)] * 2, "band int, key string, structure_id long").write.parquet(f"{tmp_path}/molecule_lsh.parquet")
+    got, moved = shuffled(spark, search_queries.mol_similar(spark, str(tmp_path)))
+    assert [(r.query, r.structure) for r in got] == [(q, s) for q in (0, 100, 200, 300) for s in (q, 1000 + q // 100) if s != 1001] + [(1000, 1000), (1000, 0)]
+    assert moved < 40 * len(rows)
