@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bitsieve.operators import search
+from bitsieve.operators import reactions, search
 from bitsieve.plans import search_queries
 
 
@@ -49,3 +49,18 @@ def test_limited_index_search_moves_no_candidates(spark, tmp_path):
     got, moved = shuffled(spark, search_queries.mol_similar(spark, str(tmp_path)))
     assert [(r.query, r.structure) for r in got] == [(q, s) for q in (0, 100, 200, 300) for s in (q, 1000 + q // 100) if s != 1001] + [(1000, 1000), (1000, 0)]
     assert moved < 40 * len(rows)
+
+
+@pytest.mark.parametrize("k", [1, 7, 3000])
+def test_best_reactions_move_no_pairs(spark, monkeypatch, k):
+    monkeypatch.setattr(reactions, "SLICE", 512)
+    rng = random.Random(7)
+    used = [(r, bool(r % 2), 0) for r in range(2000) for _ in range(2)] + [(rng.randrange(2000), rng.random() < 0.5, rng.randrange(1, 50)) for _ in range(3000)]
+    hits = [(q, c, side, m, t) for q in range(150) for c, side, m, t in {(1, True, 0, 0.5), (2, False, 0, 0.25), (3, True, rng.randrange(1, 50), 1.0), (4, False, rng.randrange(1, 50), rng.choice([0.3, 0.333333333]))}]
+    left = spark.createDataFrame(hits, "query long, component_no long, is_product boolean, molecule long, t double").localCheckpoint()
+    right = spark.createDataFrame(used, "reaction long, is_product boolean, molecule long").localCheckpoint()
+    got, moved = shuffled(spark, reactions.top_each(left, right, k))
+    pairs = left.join(right.distinct(), ["molecule", "is_product"]).select("query", "component_no", "reaction", "molecule", "t")
+    want = search.first_of(reactions.ranked(pairs), ["query"], [F.desc("score"), F.col("reaction")], k).select("query", "reaction", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert k == 3000 or moved < 15_000 + 2 * len(want)
