@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bitsieve.functions.graph_columns import sides
 from bitsieve.operators import reactions, search
 from bitsieve.plans import search_queries
+from bitsieve.sources.tables import table
 
 
 def shuffled(spark, df):
@@ -64,3 +66,13 @@ def test_best_reactions_move_no_pairs(spark, monkeypatch, k):
     want = search.first_of(reactions.ranked(pairs), ["query"], [F.desc("score"), F.col("reaction")], k).select("query", "reaction", "score").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert k == 3000 or moved < 15_000 + 2 * len(want)
+
+
+def test_sizes_of_unions_need_no_graphs(spark, small_dir):
+    roles = table(spark, small_dir, "reaction_substance").dropDuplicates(["id"])
+    parts = search_queries._substance_parts(spark, small_dir).select("id", "substance", F.coalesce("structure", "other").alias("structure"), "mapping")
+    made = reactions.by_role(roles, parts).withColumn("g", sides("substances"))
+    want = made.select("reaction", *(F.size(f"g.{side}.{what}") for side in ("reactants", "products") for what in ("atoms", "bonds"))).collect()
+    got = search_queries.reaction_graphs(spark, small_dir)
+    assert want and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert "EvalPython" not in got._jdf.queryExecution().toString()
