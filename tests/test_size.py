@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bitsieve.functions.graph_columns import sides
+from bitsieve.functions.graph_columns import _few, sides
 from bitsieve.operators import reactions, search
 from bitsieve.plans import search_queries
 from bitsieve.sources.tables import table
@@ -76,3 +77,9 @@ def test_sizes_of_unions_need_no_graphs(spark, small_dir):
     got = search_queries.reaction_graphs(spark, small_dir)
     assert want and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     assert "EvalPython" not in got._jdf.queryExecution().toString()
+
+
+def test_graphs_of_a_batch_are_objects_a_few_at_a_time():
+    rows = [None, *({"parts": [{"from": i, "to": None}]} for i in range(300))]
+    got = list(_few(pa.array(rows).slice(1), 64))
+    assert max(map(len, got)) == 64 and [x for some in got for x in some] == rows[1:]
