@@ -83,3 +83,11 @@ def test_graphs_of_a_batch_are_objects_a_few_at_a_time():
     rows = [None, *({"parts": [{"from": i, "to": None}]} for i in range(300))]
     got = list(_few(pa.array(rows).slice(1), 64))
     assert max(map(len, got)) == 64 and [x for some in got for x in some] == rows[1:]
+
+
+@pytest.mark.parametrize("name", ["rxn_similar_center", "rxn_substructure_center"])
+def test_other_centres_are_not_ranked(spark, small_dir, name):
+    similar = name == "rxn_similar_center"
+    every = search_queries._component_hits(spark, small_dir, similar=similar).select("query", "reaction").distinct().count()
+    own = search_queries._component_hits(spark, small_dir, similar=similar, centre=True).select("query", "reaction").distinct().count()
+    assert 0 < own == search_queries.QUERIES[name](spark, small_dir).count() < every
