@@ -91,3 +91,19 @@ def test_other_centres_are_not_ranked(spark, small_dir, name):
     every = search_queries._component_hits(spark, small_dir, similar=similar).select("query", "reaction").distinct().count()
     own = search_queries._component_hits(spark, small_dir, similar=similar, centre=True).select("query", "reaction").distinct().count()
     assert 0 < own == search_queries.QUERIES[name](spark, small_dir).count() < every
+
+
+@pytest.mark.parametrize("find", [lambda q, s: search.containing(q, s, "id"), lambda q, s: search.similar_exact(q, s, "id", 0.5)])
+def test_blocks_take_repeated_rows_once(spark, crowd, find):
+    rows, store, queries = crowd
+    want = {(r.query, r.id): r.t for r in find(queries, store).collect()}
+    got, moved = shuffled(spark, find(queries, store.unionAll(store)))
+    assert {(r.query, r.id): r.t for r in got} == want and len(got) == len(want) >= len(rows)
+    assert moved < 4 * len(rows)
+
+
+def test_queries_meet_a_store_in_one_block(spark, crowd, monkeypatch):
+    rows, store, queries = crowd
+    monkeypatch.setattr(search, "SETS", 200)
+    got, moved = shuffled(spark, search.containing(queries, store, "id"))
+    assert len(got) >= len(rows) and moved < 5 * len(rows)
