@@ -107,3 +107,49 @@ def test_queries_meet_a_store_in_one_block(spark, crowd, monkeypatch):
     monkeypatch.setattr(search, "SETS", 200)
     got, moved = shuffled(spark, search.containing(queries, store, "id"))
     assert len(got) >= len(rows) and moved < 5 * len(rows)
+
+
+@pytest.mark.parametrize("block", [1 << 18, 300])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_ranked_reactions_move_no_pairs(spark, monkeypatch, ordered, block):
+    monkeypatch.setattr(reactions, "BLOCK", block)
+    rng = random.Random(8)
+    used = [(r, bool(r % 2), 0) for r in range(1000) for _ in range(2)] + [(rng.randrange(1000), rng.random() < 0.5, rng.randrange(1, 40)) for _ in range(1500)] + [(None, True, 0)]
+    hits = [(q, c, side, m, t) for q in range(60) for c, side, m, t in {(1, True, 0, 0.5), (1, True, 0, 0.0), (2, False, 0, 0.25), (3, True, rng.randrange(1, 40), 1.0), (4, False, rng.randrange(1, 40), rng.choice([0.3, 0.333333333]))}]
+    left = spark.createDataFrame(hits, "query long, component_no long, is_product boolean, molecule long, t double").localCheckpoint()
+    right = spark.createDataFrame(used, "reaction long, is_product boolean, molecule long").localCheckpoint()
+    got, moved = shuffled(spark, reactions.ranked_in_blocks(left, right, ordered=ordered))
+    pairs = left.join(right.distinct(), ["molecule", "is_product"]).select("query", "component_no", "reaction", "molecule", "t")
+    want = reactions.ranked(pairs, ordered=ordered)
+    want = (want.orderBy("query", F.desc("score"), "reaction") if ordered else want).collect()
+    assert list(map(tuple, got)) == list(map(tuple, want)) if ordered else sorted(map(str, got)) == sorted(map(str, want))
+    assert len(want) > 50_000 and (block < 1000 and ordered or moved < 20_000 + 60 * len(hits))
+
+
+@pytest.mark.parametrize("block", [1 << 18, 100])
+@pytest.mark.parametrize("name", ["rxn_similar", "rxn_similar_unordered", "rxn_substructure", "rxn_substructure_unordered"])
+def test_reaction_searches_in_blocks(spark, small_dir, monkeypatch, name, block):
+    monkeypatch.setattr(reactions, "BLOCK", block)
+    monkeypatch.setattr(reactions, "KEPT", 1)
+    monkeypatch.setattr(reactions, "SETS", 50)
+    similar, ordered = "similar" in name, not name.endswith("unordered")
+    got = search_queries.QUERIES[name](spark, small_dir).collect()
+    want = reactions.ranked(search_queries._component_hits(spark, small_dir, similar=similar), ordered=ordered).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert not ordered or [(r.query, r.reaction) for r in got] == [(r.query, r.reaction) for r in sorted(want, key=lambda r: (r.query, -r.score, r.reaction))]
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_hot_band_keys_move_no_hits_into_reactions(spark, tmp_path, ordered):
+    rng = random.Random(9)
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("molecule_structure", [(i, i // 2, sorted(rng.sample(range(60), 30)), i % 2 == 0) for i in range(800)], "id long, molecule long, fingerprint array<int>, is_canonic boolean")
+    save("molecule_lsh", [(b, "hot" if b == 0 and i % 3 else str(i), i) for i in range(800) for b in range(2)], "band int, key string, structure_id long")
+    save("substance_structure", [(i, i, i, None) for i in range(400)], "id long, substance long, molecule long, non_organic long")
+    save("reaction", [(i,) for i in range(3000)], "id long")
+    save("reaction_substance", [(3 * r + i, r, rng.randrange(400), i == 2) for r in range(3000) for i in range(3)], "id long, reaction long, substance long, is_product boolean")
+    got, moved = shuffled(spark, search_queries.rxn_similar(spark, str(tmp_path), ordered=ordered))
+    hits = search_queries._component_hits(spark, str(tmp_path), similar=True)
+    want = reactions.ranked(hits, ordered=ordered).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 60_000
+    assert moved < 60_000
