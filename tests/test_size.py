@@ -132,6 +132,7 @@ def test_reaction_searches_in_blocks(spark, small_dir, monkeypatch, name, block)
     monkeypatch.setattr(reactions, "BLOCK", block)
     monkeypatch.setattr(reactions, "KEPT", 1)
     monkeypatch.setattr(reactions, "SETS", 50)
+    monkeypatch.setattr(reactions, "TIMES", 2 if block == 100 else 6)
     similar, ordered = "similar" in name, not name.endswith("unordered")
     got = search_queries.QUERIES[name](spark, small_dir).collect()
     want = reactions.ranked(search_queries._component_hits(spark, small_dir, similar=similar), ordered=ordered).collect()
