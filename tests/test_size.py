@@ -69,6 +69,35 @@ def test_best_reactions_move_no_pairs(spark, monkeypatch, k):
     assert k == 3000 or moved < 15_000 + 2 * len(want)
 
 
+@pytest.mark.parametrize("k", [1, 100])
+def test_few_best_reactions_of_many_queries_move_reactions_once(spark, k):
+    rng = random.Random(10)
+    hits = [(q, 1, True, rng.randrange(3000), rng.choice([0.3, 0.5])) for q in range(9000)]
+    used = [(r, True, rng.randrange(3000)) for r in range(20_000)]
+    left = spark.createDataFrame(hits, "query long, component_no long, is_product boolean, molecule long, t double").localCheckpoint()
+    right = spark.createDataFrame(used, "reaction long, is_product boolean, molecule long").localCheckpoint()
+    got, moved = shuffled(spark, reactions.top_each(left, right, k))
+    of = {}
+    for r, _, m in used:
+        of.setdefault(m, []).append(r)
+    assert sorted(map(tuple, got)) == sorted((q, r, t) for q, _, _, m, t in hits for r in of.get(m, [])[:k])
+    assert moved < 2.5 * len(used) + 4 * len(hits) + len(got)
+
+
+@pytest.mark.parametrize("k", [1, 40, 3000])
+def test_best_reactions_of_all_blocks(spark, monkeypatch, k):
+    for name, value in (("QUERIES", (10, 60)), ("HITS", 300), ("REACTIONS", (100, 900)), ("SLICE", 128), ("TOGETHER", 8)):
+        monkeypatch.setattr(reactions, name, value)
+    rng = random.Random(11)
+    used = [(rng.randrange(1200), rng.random() < 0.5, rng.randrange(60)) for _ in range(4000)]
+    hits = [(q, c, rng.random() < 0.5, rng.randrange(60), rng.choice([0.25, 0.333333333])) for q in range(90) for c in range(6)]
+    left = spark.createDataFrame(hits, "query long, component_no long, is_product boolean, molecule long, t double").localCheckpoint()
+    right = spark.createDataFrame(used, "reaction long, is_product boolean, molecule long").localCheckpoint()
+    pairs = left.join(right.distinct(), ["molecule", "is_product"]).select("query", "component_no", "reaction", "molecule", "t")
+    want = search.first_of(reactions.ranked(pairs), ["query"], [F.desc("score"), F.col("reaction")], k).select("query", "reaction", "score").collect()
+    assert len(want) >= 90 and sorted(map(tuple, reactions.top_each(left, right, k).collect())) == sorted(map(tuple, want))
+
+
 def test_sizes_of_unions_need_no_graphs(spark, small_dir):
     roles = table(spark, small_dir, "reaction_substance").dropDuplicates(["id"])
     parts = search_queries._substance_parts(spark, small_dir).select("id", "substance", F.coalesce("structure", "other").alias("structure"), "mapping")
