@@ -183,3 +183,35 @@ def test_hot_band_keys_move_no_hits_into_reactions(spark, tmp_path, ordered):
     want = reactions.ranked(hits, ordered=ordered).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 60_000
     assert moved < 60_000
+
+
+@pytest.mark.parametrize("block", [1 << 21, 300])
+def test_reactions_of_a_centre_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(reactions, "CENTRED", block)
+    rng = random.Random(10)
+    used = [(r, rng.random() < 0.5, rng.randrange(8)) for r in range(1000) for _ in range(3)] + [(None, True, 0), (5000, True, 0)]
+    hits = [(q, c, side, m, t) for q in range(0, 1000, 5) for c, side, m, t in {(1, True, 0, 0.5), (1, True, 0, 0.0), (2, False, 1, 0.25), (3, True, rng.randrange(8), 1.0)}] + [(6000, 1, True, 0, 0.5)]
+    left = spark.createDataFrame(hits, "query long, component_no long, is_product boolean, molecule long, t double").localCheckpoint()
+    right = spark.createDataFrame(used, "reaction long, is_product boolean, molecule long").localCheckpoint()
+    named = [(r, rng.choice(["a", "b", "", None])) for r in range(1000)] + [(r, "b") for r in range(0, 1000, 50)] + [(6000, "c")]
+    centres = spark.createDataFrame(named, "id long, reaction_center string").distinct().localCheckpoint()  # some have two
+    got = reactions.ranked_in_blocks(left, right, centres=centres).collect()
+    pairs = left.join(right.distinct(), ["molecule", "is_product"]).select("query", "component_no", "reaction", "molecule", "t")
+    want = reactions.same_centre(reactions.ranked(pairs), centres).select(*got[0].__fields__).orderBy("query", F.desc("score"), "reaction").collect()
+    assert [(r.query, r.score, r.reaction) for r in got] == [(r.query, r.score, r.reaction) for r in want] and sorted(map(str, got)) == sorted(map(str, want))
+    assert len(want) > 5_000
+
+
+def test_a_search_by_centre_moves_no_pairs(spark, tmp_path):
+    rng = random.Random(11)
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("molecule_structure", [(i, i, sorted({0, *rng.sample(range(1, 9), 1 + i % 4)}), True) for i in range(40)], "id long, molecule long, fingerprint array<int>, is_canonic boolean")
+    save("substance_structure", [(i, i, i, None) for i in range(40)], "id long, substance long, molecule long, non_organic long")
+    save("reaction", [(r, "ab"[r % 7 == 0]) for r in range(8000)], "id long, reaction_center string")
+    save("reaction_substance", [(3 * r + i, r, rng.randrange(40), i == 2) for r in range(8000) for i in range(3)], "id long, reaction long, substance long, is_product boolean")
+    got, moved = shuffled(spark, search_queries.rxn_substructure_center(spark, str(tmp_path)))
+    centres = table(spark, str(tmp_path), "reaction")
+    want = reactions.same_centre(reactions.ranked(search_queries._component_hits(spark, str(tmp_path), similar=False, centre=True)), centres).select(*got[0].__fields__).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 100_000
+    assert [(r.query, r.reaction) for r in got] == [(r.query, r.reaction) for r in sorted(want, key=lambda r: (r.query, -r.score, r.reaction))]
+    assert moved < 200_000
