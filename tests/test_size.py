@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bitsieve.functions.graph_columns import _few, sides
 from bitsieve.operators import reactions, search
 from bitsieve.plans import search_queries
+from bitsieve.sources.store import Store
 from bitsieve.sources.tables import table
 
 
@@ -215,3 +216,23 @@ def test_a_search_by_centre_moves_no_pairs(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 100_000
     assert [(r.query, r.reaction) for r in got] == [(r.query, r.reaction) for r in sorted(want, key=lambda r: (r.query, -r.score, r.reaction))]
     assert moved < 200_000
+
+
+@pytest.mark.parametrize("role", ["", "_product"])
+def test_similars_in_reactions_move_no_candidates(spark, tmp_path, monkeypatch, role):
+    monkeypatch.setattr(reactions, "ROWS", 1000)
+    rng = random.Random(12)
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("molecule_structure", [(i, i // 2 if i % 9 else None, sorted(rng.sample(range(60), 30)), i % 2 == 0) for i in range(800)] + [(900, 1, [], True)], "id long, molecule long, fingerprint array<int>, is_canonic boolean")
+    save("molecule_lsh", [(b, "hot" if b == 0 and i % 3 else str(i), i) for i in range(1000) for b in range(2)], "band int, key string, structure_id long")
+    save("substance_structure", [(i, i // 2, i if i % 5 else None, None) for i in range(800)] * 2, "id long, substance long, molecule long, non_organic long")
+    save("reaction_substance", [(3 * r + i, r or None, rng.randrange(400), [None, False, True, True][rng.randrange(4)]) for r in range(500) for i in range(3)], "id long, reaction long, substance long, is_product boolean")
+    d = str(tmp_path)
+    got, moved = shuffled(spark, search_queries.QUERIES[f"similars_in_reactions{role}"](spark, d))
+    s = Store(spark, d).structures()
+    index = Store(spark, d).molecule_lsh()
+    asked = index.where("structure_id % 100 = 0").withColumnRenamed("structure_id", "query")
+    hits = search.scored(search.lsh_candidates(asked, index), search_queries._queries(s, "structure"), s, "structure", None).select("query", "molecule", "t").distinct()
+    want = search_queries._lift(spark, d, hits, search_queries.ROLES[role]).select("query", "reaction", "molecule", "t").distinct().collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 1000 and {r.reaction is None for r in want} == {True, False}
+    assert moved < 15_000
