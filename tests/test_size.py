@@ -223,8 +223,8 @@ def test_similars_in_reactions_move_no_candidates(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(reactions, "ROWS", 1000)
     rng = random.Random(12)
     save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    save("molecule_structure", [(i, i // 2 if i % 9 else None, sorted(rng.sample(range(60), 30)), i % 2 == 0) for i in range(800)] + [(900, 1, [], True)], "id long, molecule long, fingerprint array<int>, is_canonic boolean")
-    save("molecule_lsh", [(b, "hot" if b == 0 and i % 3 else str(i), i) for i in range(1000) for b in range(2)], "band int, key string, structure_id long")
+    save("molecule_structure", [(25 * i, i // 2 if i % 9 else None, sorted(rng.sample(range(60), 30)), i % 2 == 0) for i in range(800)] + [(30000, 1, [], True)], "id long, molecule long, fingerprint array<int>, is_canonic boolean")
+    save("molecule_lsh", [(b, "hot" if b == 0 and i % 3 else str(i), 25 * i) for i in range(1250) for b in range(2)], "band int, key string, structure_id long")
     save("substance_structure", [(i, i // 2, i if i % 5 else None, None) for i in range(800)] * 2, "id long, substance long, molecule long, non_organic long")
     save("reaction_substance", [(3 * r + i, r or None, rng.randrange(400), [None, False, True, True][rng.randrange(4)]) for r in range(500) for i in range(3)], "id long, reaction long, substance long, is_product boolean")
     d = str(tmp_path)
@@ -236,3 +236,25 @@ def test_similars_in_reactions_move_no_candidates(spark, tmp_path, monkeypatch,
     want = search_queries._lift(spark, d, hits, search_queries.ROLES[role]).select("query", "reaction", "molecule", "t").distinct().collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 1000 and {r.reaction is None for r in want} == {True, False}
     assert moved < 15_000
+
+
+def test_an_unordered_search_sends_no_bits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reactions, "BLOCK", 100)
+    rng = random.Random(13)
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("molecule_structure", [(i, i // 2, sorted(rng.sample(range(2000), 300)), i % 2 == 0) for i in range(800)] + [(900, 1, [], True)], "id long, molecule long, fingerprint array<int>, is_canonic boolean")
+    save("molecule_lsh", [(b, "hot" if b == 0 and i % 3 else str(i % 700), i) for i in range(1000) for b in range(2)], "band int, key string, structure_id long")
+    save("substance_structure", [(i, i, i, None) for i in range(400)], "id long, substance long, molecule long, non_organic long")
+    save("reaction", [(i,) for i in range(1500)], "id long")
+    save("reaction_substance", [(3 * r + i, r, rng.randrange(400), i == 2) for r in range(1500) for i in range(3)], "id long, reaction long, substance long, is_product boolean")
+    gateway = spark.sparkContext._gateway
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    written = lambda: sum((s := all_.apply(i)).shuffleWriteBytes() for all_ in [stages()] for i in range(all_.size()))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    got = search_queries.rxn_similar(spark, str(tmp_path), ordered=False).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    moved = written() - before
+    want = reactions.ranked(search_queries._component_hits(spark, str(tmp_path), similar=True), ordered=False).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10_000
+    assert moved < 800 * 300 * 4  # less than all bits once
